@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonewise.llm import decontaminate, jaccard
+from tonewise.llm import decontaminate, jaccard, langid, toxicity
 from tonewise.llm.common import table
 
 
@@ -18,5 +18,13 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_decontaminate": op8_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard}
+    return {"op8_decontaminate": op8_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op9_language_id": op9_language_id, "op3_toxicity": op3_toxicity}
