@@ -48,5 +48,20 @@ FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
 """
 
 
+EMBEDDINGS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.y, r.c FROM r JOIN l ON r.vec_id = l.x),
+n AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x)
+SELECT r.vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(r.c) AS component_id, min(r.c) = r.vec_id AS kept
+FROM r LEFT JOIN n USING (vec_id) GROUP BY r.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": DECONTAMINATE, "op10_ngram_jaccard": JACCARD}
+    return {"op8_decontaminate": DECONTAMINATE, "op10_ngram_jaccard": JACCARD, "op5_embedding_near_dedup": EMBEDDINGS}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonewise.llm import decontaminate, jaccard, langid, packing, sharding, toxicity
+from tonewise.llm import decontaminate, embeddings, jaccard, langid, packing, sharding, toxicity
 from tonewise.llm.common import table
 
 
@@ -34,5 +34,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_decontaminate": op8_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op9_language_id": op9_language_id, "op3_toxicity": op3_toxicity, "op4_sharding": op4_sharding, "op6_packing": op6_packing}
+    return {"op8_decontaminate": op8_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op9_language_id": op9_language_id, "op3_toxicity": op3_toxicity, "op4_sharding": op4_sharding, "op6_packing": op6_packing, "op5_embedding_near_dedup": op5_embedding_near_dedup}
