@@ -63,5 +63,28 @@ FROM r LEFT JOIN n USING (vec_id) GROUP BY r.vec_id
 """
 
 
+LINES = """
+WITH l AS (
+  SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+d AS (SELECT line, length(line) AS n, min(row(doc_id, pos)) AS o FROM l WHERE trim(line) <> '' GROUP BY line),
+k AS (
+  SELECT *, c AS size, c // 2 AS h FROM (SELECT *, n AS c FROM d WHERE n >= 20 UNION ALL SELECT *, n + 1 FROM d WHERE n >= 20)),
+near AS (
+  SELECT a.line FROM k a JOIN k b ON a.size = b.size AND left(a.line, a.h) = left(b.line, b.h)
+  WHERE b.o < a.o AND a.line <> b.line AND abs(a.n - b.n) <= 1 AND levenshtein(a.line, b.line) <= 1
+  UNION
+  SELECT a.line FROM k a JOIN k b ON a.size = b.size AND right(a.line, a.size - a.h - 1) = right(b.line, b.size - b.h - 1)
+  WHERE b.o < a.o AND a.line <> b.line AND abs(a.n - b.n) <= 1 AND levenshtein(a.line, b.line) <= 1),
+keep AS (SELECT o FROM d WHERE line NOT IN (SELECT line FROM near)),
+j AS (SELECT l.*, trim(l.line) = '' AS blank, keep.o IS NOT NULL AS kept FROM l LEFT JOIN keep ON keep.o = row(l.doc_id, l.pos)),
+t AS (
+  SELECT doc_id, count(*) FILTER (NOT blank) AS n_lines, count(*) FILTER (kept) AS n_kept,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (blank OR kept), '') AS left_text FROM j GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_kept, 0)::BIGINT AS n_kept,
+  length(left_text)::BIGINT AS n_chars_left, sha256(left_text) AS text_sha256
+FROM documents d LEFT JOIN t USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": DECONTAMINATE, "op10_ngram_jaccard": JACCARD, "op5_embedding_near_dedup": EMBEDDINGS}
+    return {"op8_decontaminate": DECONTAMINATE, "op10_ngram_jaccard": JACCARD, "op5_embedding_near_dedup": EMBEDDINGS, "op1_line_dedup": LINES}
