@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonewise.llm import decontaminate, embeddings, jaccard, langid, lines, packing, sharding, toxicity
+from tonewise.llm import decontaminate, embeddings, jaccard, langid, lines, packing, sharding, substrings, toxicity
 from tonewise.llm.common import table
 
 
@@ -42,5 +42,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_decontaminate": op8_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op9_language_id": op9_language_id, "op3_toxicity": op3_toxicity, "op4_sharding": op4_sharding, "op6_packing": op6_packing, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op1_line_dedup": op1_line_dedup}
+    return {"op8_decontaminate": op8_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op9_language_id": op9_language_id, "op3_toxicity": op3_toxicity, "op4_sharding": op4_sharding, "op6_packing": op6_packing, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op1_line_dedup": op1_line_dedup, "op7_substring_dedup": op7_substring_dedup}
