@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonewise.llm import decontaminate, embeddings, jaccard, langid, lines, packing, sharding, substrings, toxicity
+from tonewise.llm import decontaminate, embeddings, jaccard, langid, lines, packing, sharding, substrings, toxicity, urls
 from tonewise.llm.common import table
 
 
@@ -46,5 +46,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.report(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_decontaminate": op8_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op9_language_id": op9_language_id, "op3_toxicity": op3_toxicity, "op4_sharding": op4_sharding, "op6_packing": op6_packing, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op1_line_dedup": op1_line_dedup, "op7_substring_dedup": op7_substring_dedup}
+    found = (
+        op1_line_dedup, op2_url_filters, op3_toxicity, op4_sharding, op5_embedding_near_dedup,
+        op6_packing, op7_substring_dedup, op8_decontaminate, op9_language_id, op10_ngram_jaccard,
+    )
+    return {f.__name__: f for f in found}
