@@ -162,12 +162,11 @@ def fit(
     return model
 
 
-def _label(model: Model):
+def _label(model: Model, text: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            found = [scorer(t) for t in b.column("__text").to_pylist()]
-            keep = [c for c in b.schema.names if c != "__text"]
+            found = [scorer(t) for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in keep), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
                 names=[*keep, "lang_pred", "score"],
@@ -180,9 +179,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     """The ``keep`` columns of each row with lang_pred and score."""
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = StructType(rows.schema.fields[:-1]).add("lang_pred", StringType()).add("score", DoubleType())
-    return rows.mapInArrow(_label(model), schema)
+    rows = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).cast("string")]))
+    schema = StructType([rows.schema[c] for c in keep]).add("lang_pred", StringType()).add("score", DoubleType())
+    return rows.mapInArrow(_label(model, text_col, keep), schema)
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
