@@ -68,10 +68,9 @@ def kept_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> D
     """(rid, at): the position of each line that stays; ``rid`` numbers the rows of ``docs`` as they are read."""
     every = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), _lines(F.col(text_col)).alias("lines"))
     every = every.select("rid", "id", F.posexplode("lines").alias("at", "line")).where(~_blank(F.col("line")))
-    n = F.char_length("line")
+    every = every.withColumn("n", F.char_length("line"))
     # The longer of two lines is this one, or has a character more.
-    firsts = [_keys(_stretches(F.lit(0), n + more, THIRDS), n + more) for more in (0, 1)]
-    keys = F.when(n >= min_chars, F.concat(*firsts)).otherwise(F.array().cast("array<bigint>"))
+    keys = F.when(F.col("n") >= min_chars, F.array(*_first_keys(0), *_first_keys(1))).otherwise(F.array().cast("array<bigint>"))
     distinct = every.select(
         F.xxhash64("line").alias("line_id"), F.hash("line").alias("check"), F.struct("id", "rid", "at").alias("order"), keys.alias("keys")
     )
@@ -105,27 +104,34 @@ def kept_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> D
     return distinct.join(gone, ["line_id", "order"], "left_anti").select(F.col("order.rid").alias("rid"), F.col("order.at").alias("at"))
 
 
-def _keys(cuts: Column, size: Column) -> Column:
-    return F.transform(cuts, lambda c: _variant(F.col("line"), size, c["s"], c["e"]))
+def _first_keys(more: int) -> list[Column]:
+    """The variants without one third, as plain expressions: every line has them."""
+    size = F.col("n") + more
+    at = [F.lit(0), *(F.floor(size * i / THIRDS).cast("int") for i in range(1, THIRDS)), size]
+    out = []
+    for s, e in zip(at[:-1], at[1:], strict=True):
+        tail = F.substring("line", F.col("n") - (size - e) + 1, size - e)
+        out.append(F.xxhash64(size, s, e, F.substring("line", F.lit(1), s), tail))
+    return out
 
 
 def _rebuilt(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with ``__text`` (what is left), ``__lines`` and ``__kept`` (lines that aren't blank: before and after)."""
     kept = kept_lines(docs, min_chars, id_col, text_col)
     kept = kept.groupBy("rid").agg(F.collect_list("at").alias("__at"))  # as many numbers as the text has lines
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
+    rest = [c for c in docs.columns if c != text_col]
+    # The text goes as its lines, split once.
+    rows = docs.select(*rest, F.monotonically_increasing_id().alias("__rid"), _lines(F.col(text_col)).alias("__l"))
     rows = rows.join(kept.withColumnRenamed("rid", "__rid"), "__rid", "left")
-    lines = _lines(F.col(text_col))
-    full = F.size(F.filter(lines, lambda x: ~_blank(x)))
-    at = F.coalesce("__at", F.array().cast("array<int>"))
-    blank = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: _blank(F.get(lines, i)))
-    text = F.array_join(F.transform(F.array_sort(F.concat(at, blank)), lambda i: F.get(lines, i)), "\n")
-    same = F.size(at) == full
+    blank = F.filter(F.sequence(F.lit(0), F.size("__l") - 1), lambda i: _blank(F.get("__l", i)))
+    rows = rows.select(*rest, "__l", F.coalesce("__at", F.array().cast("array<int>")).alias("__at"), blank.alias("__blank"))
+    text = F.array_join(F.transform(F.array_sort(F.concat("__at", "__blank")), lambda i: F.get("__l", i)), "\n")
+    some = F.col("__l").isNotNull()
     return rows.select(
-        *docs.columns,
-        F.when(F.col(text_col).isNull() | same, F.col(text_col)).otherwise(text).alias("__text"),
-        F.when(F.col(text_col).isNull(), 0).otherwise(full).alias("__lines"),
-        F.size(at).alias("__kept"),
+        *rest,
+        F.when(some, text).alias("__text"),
+        F.when(some, F.size("__l") - F.size("__blank")).otherwise(0).alias("__lines"),
+        F.size("__at").alias("__kept"),
     )
 
 
