@@ -37,10 +37,7 @@ def main_script(text: Column) -> Column:
         F.struct(F.regexp_count(text, F.lit(p)).alias("n"), (-F.regexp_instr(text, F.lit(p))).alias("at"), F.lit(k).alias("script"))
         for k, p in script_patterns().items()
     ]
-    # Latin and other letters decide nothing; most texts are settled by one look at the pattern of all scripts.
-    known = _letters([(lo, hi) for _, lo, hi in SCRIPTS])
-    top = F.array_max(F.filter(F.array(*counted), lambda x: x["n"] > 0))["script"]
-    return F.when(text.rlike(known), top)
+    return F.array_max(F.filter(F.array(*counted), lambda x: x["n"] > 0))["script"]
 
 
 def _first_mark(text: Column, marks, otherwise: Column) -> Column:
@@ -53,11 +50,18 @@ def _first_mark(text: Column, marks, otherwise: Column) -> Column:
 def function_word_vote(text: Column) -> Column:
     """The language of most distinct function words; ties to the first, 'en' without any, 'und' without words."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), 0))
-    hits = [
+
+    def vote(w: Column) -> Column:
+        return F.when(F.size(w) == 0, F.lit("und")).otherwise(F.greatest(*_hits(w))["code"])
+
+    return F.transform(F.array(words), vote)[0]  # the words are found once
+
+
+def _hits(words: Column) -> list[Column]:
+    return [
         F.struct(F.size(F.array_intersect(words, F.array(*map(F.lit, listed.split())))).alias("n"), F.lit(-i).alias("rank"), F.lit(code).alias("code"))
         for i, (code, listed) in enumerate(FUNCTION_WORDS.items())
     ]
-    return F.when(F.size(words) == 0, F.lit("und")).otherwise(F.greatest(*hits)["code"])
 
 
 def detect_language(text: Column, detector: Column | None = None) -> Column:
@@ -66,11 +70,14 @@ def detect_language(text: Column, detector: Column | None = None) -> Column:
     guess = F.lit(None).cast("string") if detector is None else F.substring(detector, 1, 2)
     cyrillic = _first_mark(F.lower(text), CYRILLIC_MARKS, F.when(guess.isin(*CYRILLIC_LANGUAGES), guess).otherwise(F.lit("ru")))
     latin = _first_mark(text, LATIN_MARKS, F.coalesce(guess, function_word_vote(text)))
-    return (
-        F.when(text.isNull() | (text == ""), F.lit("und"))
-        .when((script == "zh") & text.rlike(r"[\p{L}&&[\x{3040}-\x{30FF}]]"), F.lit("ja"))
+    short = F.length(F.regexp_replace(text, r"^(?U)[\s\x1c-\x1f]+|(?U)[\s\x1c-\x1f]+$", "")) < 3
+    latin = F.when(short, F.lit("und")).otherwise(latin)
+    told = (
+        F.when((script == "zh") & text.rlike(r"[\p{L}&&[\x{3040}-\x{30FF}]]"), F.lit("ja"))
         .when(script == "ru", cyrillic)
         .when(script.isNotNull() & ~script.isin("latin", "other"), script)
-        .when(F.length(F.regexp_replace(text, r"^(?U)[\s\x1c-\x1f]+|(?U)[\s\x1c-\x1f]+$", "")) < 3, F.lit("und"))
         .otherwise(latin)
     )
+    # Without a letter of any script that tells a language, one look at the text settles that none does.
+    known = text.rlike(_letters([(lo, hi) for _, lo, hi in SCRIPTS]))
+    return F.when(text.isNull() | (text == ""), F.lit("und")).when(known, told).otherwise(latin)

@@ -16,6 +16,7 @@ from tonewise.operators import metrics, prepare
 from tonewise.operators.features import Vectorizer
 from tonewise.plans.models import Ensemble, Meta
 from tonewise.sources import sinks
+from tonewise.sources.tables import stored
 
 
 @dataclass
@@ -36,11 +37,11 @@ def train(sources: list[DataFrame], options: Options | None = None, names: list[
     o = options or Options()
     corpus = prepare.build_corpus(sources, o.cap, fold=o.fold)
     corpus = corpus.withColumn("row_id", F.xxhash64("source_rank", "row_id"))
-    corpus = prepare.split(corpus, "row_id", o.test, o.val).persist()
+    corpus = stored(prepare.split(corpus, "row_id", o.test, o.val), "corpus")
     part = {k: corpus.where(F.col("part") == k) for k in ("train", "val", "test")}
     model = Ensemble.fit(part["train"], Vectorizer(o.word_features, o.char_features), epochs=o.epochs)
-    cuts = metrics.tune_thresholds(model.predict(part["val"]).persist(), o.min_support).persist()
-    scored = model.predict(part["test"]).persist()
+    cuts = stored(metrics.tune_thresholds(stored(model.predict(part["val"]), "validation"), o.min_support), "cuts")
+    scored = stored(model.predict(part["test"]), "test")
     report = {r["lang"]: r for r in metrics.evaluate(scored, cuts, max(1, o.min_support // 3)).collect()}  # a row a language
     tuned = {r["lang"]: r["cut"] for r in cuts.collect()}
     whole = report.pop(None)
