@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ from tonewise.llm.hashing import WordHashes, mix, mix1
 #: Signature rows that a map task gathers before it reduces them.
 FLUSH_ROWS = 1_000_000
 #: A block of a candidate group holds about so many shingles and sets at most.
-BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 1_024
+BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 2_048
 #: A fragment of the order has so many shingles when overlaps are counted.
 FRAGMENT = 2_048
 #: Rows of (id, set, group) that may be broadcast.
@@ -175,6 +176,40 @@ def _scan(n: int, pct: int):
     return run
 
 
+def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass documents (n size); of the ties (n null, -1) of a task leave a spanning forest (n -1)."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    def forest() -> pa.RecordBatch:
+        ties = [(x, find(x)) for x in list(parent)]
+        x, y = zip(*[t for t in ties if t[0] != t[1]], strict=True) if ties else ((), ())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.nulls(len(x), pa.int64()), pa.array([-1] * len(x), pa.int64())],
+            names=["k", "a", "b", "n"],
+        )
+
+    for b in batches:
+        size = pa.compute.fill_null(b.column("n"), -1)
+        tie = b.filter(pa.compute.less(size, 0))
+        for x, y in zip(tie.column("k").to_pylist(), tie.column("a").to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if len(parent) > FLUSH_ROWS // 4:
+            yield forest()
+            parent.clear()
+        whole = b.filter(pa.compute.greater_equal(size, 0))
+        if whole.num_rows:
+            yield pa.RecordBatch.from_arrays([whole.column(c) for c in "kabn"], names=list("kabn"))
+    if parent:
+        yield forest()
+
+
 def _sets(n: int):
     """(root, sid, text) -> (root, sid, shingles) where the text has that set."""
 
@@ -203,18 +238,22 @@ def _sets(n: int):
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many shingles each left and right set share: partial counts for each fragment of the order, summed."""
     total = np.zeros((len(left), len(right)), np.float32)
-    lt, rt = np.concatenate(left), np.concatenate(right)
-    li = np.repeat(np.arange(len(left)), [len(x) for x in left])
-    ri = np.repeat(np.arange(len(right)), [len(x) for x in right])
-    common = np.intersect1d(lt, rt)
+    flat = [np.concatenate(left), np.concatenate(right)]
+    common = np.intersect1d(*flat)
+    held = []
+    for t, side in zip(flat, (left, right), strict=True):
+        i = np.repeat(np.arange(len(side), dtype=np.int32), [len(x) for x in side])
+        p = np.searchsorted(common, t)
+        p[p == len(common)] = 0
+        ok = common[p] == t if len(common) else np.zeros(len(t), bool)
+        order = np.argsort(p[ok], kind="stable")
+        held.append((p[ok][order], i[ok][order], len(side)))
     for at in range(0, len(common), FRAGMENT):
-        part = common[at : at + FRAGMENT]
         inc = []
-        for t, i, m in ((lt, li, len(left)), (rt, ri, len(right))):
-            p = np.searchsorted(part, t)
-            ok = part[np.minimum(p, len(part) - 1)] == t
-            x = np.zeros((m, len(part)), np.float32)
-            x[i[ok], p[ok]] = 1
+        for p, i, m in held:
+            a, b = np.searchsorted(p, (at, at + FRAGMENT))
+            x = np.zeros((m, FRAGMENT), np.float32)
+            x[i[a:b], p[a:b] - at] = 1
             inc.append(x)
         total += inc[0] @ inc[1].T
     return total
@@ -226,8 +265,12 @@ def _linked(left: list, right: list, pct: int) -> np.ndarray:
     if len(left) * len(right) <= 64:
         o = np.array([[len(np.intersect1d(x, y, True)) if pct * max(len(x), len(y)) <= 100 * min(len(x), len(y)) else 0 for y in right] for x in left])
     else:
-        o = overlaps(left, right).astype(np.int64)
-    return (o > 0) & (100 * o >= pct * (a[:, None] + b[None, :] - o))
+        o = overlaps(left, right)
+    link = np.empty(o.shape, bool)
+    for i in range(0, len(o), 256):
+        x = o[i : i + 256].astype(np.int64)
+        link[i : i + 256] = (x > 0) & (100 * x >= pct * (a[i : i + 256, None] + b[None, :] - x))
+    return link
 
 
 def _spanning(ids: list[int], link: np.ndarray) -> list[tuple[int, int]]:
@@ -244,6 +287,22 @@ def _spanning(ids: list[int], link: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _bipartite(left: list[int], right: list[int], link: np.ndarray) -> list[tuple[int, int]]:
+    """The same where only left and right members can link."""
+    out, free, other = [], np.ones(len(left), bool), np.ones(len(right), bool)
+    for i in range(len(left)):
+        if free[i]:
+            front = np.array([i])
+            free[i] = False
+            while len(front):
+                across = np.flatnonzero(link[front].any(0) & other)
+                other[across] = False
+                front = np.flatnonzero(link[:, across].any(1) & free)
+                free[front] = False
+                out += [(left[i], right[j]) for j in across] + [(left[i], left[j]) for j in front]
+    return out
+
+
 def _verify(pct: int):
     """Rows sorted by (g, side, sid): the spanning links of each g. side 0 against side 1; one side alone: among itself."""
 
@@ -253,9 +312,7 @@ def _verify(pct: int):
         if len(ids) == 1:
             return _spanning(ids[0], _linked(sets[0], sets[0], pct)) if len(ids[0]) > 1 else []
         m = _linked(sets[0], sets[1], pct)
-        whole = np.zeros((sum(m.shape),) * 2, bool)
-        whole[: len(m), len(m) :], whole[len(m) :, : len(m)] = m, m.T
-        return _spanning(ids[0] + ids[1], whole)
+        return _bipartite(ids[0], ids[1], m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sides, out = None, {}, []
@@ -320,10 +377,11 @@ def classes(docs: DataFrame, n: int = 4, pct: int = 85, id_col: str = "doc_id",
     rows = base.mapInArrow(_scan(n, pct), SCAN).withColumn("kind", kind)
     rows = rows.withColumn("first", F.min("a").over(Window.partitionBy("k", "kind")))
     rows = rows.where((F.col("kind") > 0) | (F.col("a") > F.col("first")))
-    rows = saved(rows.select("kind", "k", "a", "b", "n", "first"), "jaccard-scan")
-    ties = rows.where("kind = 0").select("a", F.col("first").alias("b"))
-    ties = ties.unionByName(rows.where("kind = 1").select("a", F.col("k").alias("b")))
-    members = rows.where("kind = 2").select(F.col("k").alias("rid"), F.col("b").alias("id"), F.col("a").alias("sid"), "n")
+    rows = rows.select(F.when(F.col("kind") > 0, F.col("k")).otherwise(F.col("first")).alias("k"), "a", "b", "n")
+    rows = saved(rows.mapInArrow(_shrink, SCAN), "jaccard-scan")
+    ties = rows.where("n < 0")
+    ties = ties.coalesce(-(-ties.count() // FLUSH_ROWS) or 1).mapInArrow(_shrink, SCAN).select("a", F.col("k").alias("b"))
+    members = rows.where("n >= 0").select(F.col("k").alias("rid"), F.col("b").alias("id"), F.col("a").alias("sid"), "n")
 
     groups = components(ties, "a", "b")
     reps = members.groupBy("sid").agg(F.min("id").alias("id"), F.max("n").alias("n"))
