@@ -90,7 +90,7 @@ def large_avatar(url: Column) -> Column:
 
 
 def percent(x: Column) -> Column:
-    return F.coalesce(F.concat(F.format_string("%.1f", F.round(x * 100, 1)), F.lit("%")), F.lit("—"))
+    return F.when(x.isNull(), "—").otherwise(F.concat(F.format_string("%.1f", F.round(x * 100, 1)), F.lit("%")))
 
 
 def clamp_percent(x: Column) -> Column:
