@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from tonewise.llm.common import ascii_lower
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: The same before A-Z are lower-cased.
+RAW_GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 #: Windows whose hashes may be sent to every task (8 bytes each).
 MAX_BROADCAST_WINDOWS = 200_000
 
@@ -139,8 +141,8 @@ def decontaminate(
     on = docs[id_col].eqNullSafe(hit["k"]) & (F.xxhash64(docs[text_col]) == hit["h"])
     if remove == "document":
         return docs.join(hit, on, "left_anti")
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(rf"^{GAP}+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
-    lead = F.when(F.col(text_col).rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 0).otherwise(1)
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"^[{RAW_GAP}]+|[^{RAW_GAP}]+[{RAW_GAP}]*"), F.lit(0))
+    lead = F.when(F.col(text_col).rlike(f"^[{RAW_GAP}]"), 0).otherwise(1)
     cut = F.array_join(
         F.filter(pieces, lambda p, i: ~F.exists("__spans", lambda s: (i + lead >= s["at"]) & (i + lead <= s["end"]))), ""
     )
