@@ -29,7 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+#: Paths of the tables that ``release`` may delete.
+_SCRATCH: list[str] = []
+
+
+def saved(df: DataFrame, label: str, scratch: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     This cuts the lineage: what follows reads files that outlive any
@@ -38,16 +42,26 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tonewise/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if scratch:
+        _SCRATCH.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables written so far: for callers that have written the results that read them."""
+    while _SCRATCH:
+        _delete(spark, _SCRATCH.pop())
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by ``saved`` that is no longer needed."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, name)
 
 
 def ascii_lower(text: Column) -> Column:

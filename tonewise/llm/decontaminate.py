@@ -20,13 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonewise.llm.common import ascii_lower
+from tonewise.llm.common import ascii_lower, saved
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: The same before A-Z are lower-cased.
 RAW_GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 #: Windows whose hashes may be sent to every task (8 bytes each).
 MAX_BROADCAST_WINDOWS = 200_000
+#: Contaminated documents (id, hash, spans) whose rows may be sent to every task.
+MAX_BROADCAST_ROWS = 100_000
 
 
 def words(text: Column) -> Column:
@@ -138,6 +140,9 @@ def decontaminate(
         mark.withColumn("kh", F.struct("k", "h")).select("kh", "t"), benchmark, n, "kh", "t", **names
     ).where("n_hit > 0")
     hit = hit.groupBy("kh").agg(F.first("spans").alias("__spans")).select("kh.k", "kh.h", "__spans")
+    hit = saved(hit, "decontaminate-hits")
+    if hit.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        hit = F.broadcast(hit)
     on = docs[id_col].eqNullSafe(hit["k"]) & (F.xxhash64(docs[text_col]) == hit["h"])
     if remove == "document":
         return docs.join(hit, on, "left_anti")

@@ -49,7 +49,7 @@ FLUSH_ROWS = 1_000_000
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 2_048
 #: A fragment of the order has so many shingles when overlaps are counted.
 FRAGMENT = 2_048
-#: Rows of (id, set, group) that may be broadcast.
+#: Rows of a few numbers that may be broadcast.
 MAX_BROADCAST_ROWS = 200_000
 
 
@@ -74,7 +74,7 @@ class Schemes:
     def fragments(self, k: int) -> tuple[int, int]:
         """(fragments, most that can differ) for pairs whose larger set is in band k."""
         d = (100 - self.pct) * 2 * (self.start(k + 1) - 1) // (100 + self.pct)
-        return d + 2 + d // 12, d
+        return d + 2 + d // 24, d
 
 
 def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
@@ -211,25 +211,29 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(n: int):
-    """(root, sid, text) -> (root, sid, shingles) where the text has that set."""
+    """(tasks, sid, text) -> (tasks, sid, shingles) where the text has that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                roots, sids, lists = [], [], []
-                for root, sid, text in zip(*(part.column(c).to_pylist() for c in ("root", "sid", "text")), strict=True):
+                rows, sids, lists = [], [], []
+                for i, (sid, text) in enumerate(zip(part.column("sid").to_pylist(), part.column("text").to_pylist(), strict=True)):
                     s = shingles(text, n, hashes)
                     if set_id(s) == sid:
-                        roots.append(root)
+                        rows.append(i)
                         sids.append(sid)
                         lists.append(s.view(np.int64))
                 offsets = np.cumsum([0, *map(len, lists)])
                 flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(roots, pa.int64()), pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
-                    names=["root", "sid", "s"],
+                    [
+                        part.column("tasks").take(pa.array(rows, pa.int64())),
+                        pa.array(sids, pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
+                    ],
+                    names=["tasks", "sid", "s"],
                 )
 
     return run
@@ -337,23 +341,26 @@ def _verify(pct: int):
     return run
 
 
-def _tasks(sets: DataFrame, sizes: DataFrame, pct: int) -> DataFrame:
-    """(g, side, sid, s): each set in every pair of blocks that it belongs to.
+TASKS = "array<struct<g:bigint,side:int>>"
 
-    ``sizes`` has (root, n). A group over the block size is cut by size band
-    and then by hash; only equal and neighbouring bands meet.
+
+def _tasks(reps: DataFrame, pct: int) -> DataFrame:
+    """``reps`` (root, sid, id, n) with ``tasks``: every pair of blocks that the set belongs to.
+
+    A group over the block size is cut by size band and then by hash; only
+    equal and neighbouring bands meet.
     """
-    band = lambda n: F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / pct)) + 1e-9).cast("int")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / pct)) + 1e-9).cast("int")
     weights = F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_SETS)
-    large = sizes.groupBy("root").agg(weights.alias("w")).where("w > 1").select("root")
+    large = reps.groupBy("root").agg(weights.alias("w")).where("w > 1").select("root")
     blocks = (
-        sizes.join(large, "root")
-        .groupBy("root", band(F.col("n")).alias("band"))
+        reps.join(large, "root")
+        .groupBy("root", band.alias("band"))
         .agg(F.ceil(weights).cast("int").alias("nb"))
         .groupBy("root")
         .agg(F.map_from_entries(F.collect_list(F.struct("band", "nb"))).alias("nb"))  # as many entries as size bands
     )
-    x = sets.join(blocks, "root", "left").withColumn("band", F.when(F.col("nb").isNotNull(), band(F.size("s"))))
+    x = reps.join(blocks, "root", "left").withColumn("band", F.when(F.col("nb").isNotNull(), band))
     x = x.withColumn("i", F.expr("pmod(xxhash64(sid), nb[band])"))
     tasks = F.expr(
         """CASE WHEN nb IS NULL THEN array(named_struct('g', xxhash64(root), 'side', 0)) ELSE concat(
@@ -361,7 +368,7 @@ def _tasks(sets: DataFrame, sizes: DataFrame, pct: int) -> DataFrame:
              if(nb[band + 1] IS NULL, array(), transform(sequence(0, nb[band + 1] - 1), j -> named_struct('g', xxhash64(root, band, i, band + 1, cast(j as bigint)), 'side', 0))),
              if(nb[band - 1] IS NULL, array(), transform(sequence(0, nb[band - 1] - 1), j -> named_struct('g', xxhash64(root, band - 1, cast(j as bigint), band, i), 'side', 1)))) END"""
     )
-    return x.select(F.explode(tasks).alias("t"), "sid", "s").select("t.g", "t.side", "sid", "s")
+    return x.select("sid", "id", tasks.alias("tasks"))
 
 
 def classes(docs: DataFrame, n: int = 4, pct: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -386,12 +393,13 @@ def classes(docs: DataFrame, n: int = 4, pct: int = 85, id_col: str = "doc_id",
     groups = components(ties, "a", "b")
     reps = members.groupBy("sid").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     reps = saved(groups.join(reps, groups["node"] == reps["sid"]).select("root", "sid", "id", "n"), "jaccard-candidates")
-    wanted = reps.select("root", "sid", "id")
+    wanted = _tasks(reps, pct)
     if reps.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = base.join(wanted, base["id"].eqNullSafe(wanted["id"])).select("root", "sid", "text")
-    sets = texts.mapInArrow(_sets(n), "root long, sid long, s array<long>")
-    tasks = _tasks(sets, reps.select("root", "n"), pct).repartition("g").sortWithinPartitions("g", "side", "sid")
+    texts = base.join(wanted, base["id"].eqNullSafe(wanted["id"])).select("tasks", "sid", "text")
+    sets = texts.mapInArrow(_sets(n), f"tasks {TASKS}, sid long, s array<long>")
+    tasks = sets.select(F.explode("tasks").alias("t"), "sid", "s").select("t.g", "t.side", "sid", "s")
+    tasks = tasks.repartition("g").sortWithinPartitions("g", "side", "sid")
     links = components(tasks.mapInArrow(_verify(pct), "a long, b long"), "a", "b")
 
     c = F.coalesce("root", "sid").alias("c")
@@ -410,6 +418,9 @@ def one_of_each(docs: DataFrame, n: int = 5, pct: int = 80, id_col: str = "doc_i
     """``docs`` with the first row (by id) of each component; documents without words stay."""
     cols = docs.columns
     drop = classes(docs, n, pct, id_col, text_col).where(~F.coalesce("head", F.lit(False))).select(F.col("rid").alias("__rid"))
+    drop = saved(drop, "jaccard-drop")
+    if drop.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        drop = F.broadcast(drop)
     numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
     return numbered.join(drop, "__rid", "left_anti").select(*cols)
 
