@@ -248,3 +248,14 @@ def test_filters_keep_columns(spark, odd):
     assert kept.columns == docs.columns and kept.count() == 60
     assert lines.dedup(odd).columns == odd.columns and jaccard.one_of_each(odd).columns == odd.columns
     assert F.col is not None
+
+
+def test_passages_over_wide_gaps():
+    hashes = substrings.WordHashes()
+    told = lambda words: (substrings.sequence(" ".join(words), 5, hashes) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    w = [f"w{i}" for i in range(200)]
+    inserted = substrings.passages(told(w[:49] + w[150:158] + w[49:98]), told(w[:98]), 5, 50, 0.8)
+    assert inserted == [(0, 102, 0, 94)]
+    swapped = substrings.passages(told(w[:90]), told(w[45:90] + w[:45]), 5, 50, 0.8)
+    assert swapped == [(0, 86, 0, 86)]
+    assert substrings.passages(told(w[:60] + w[100:130]), told(w[:60] + w[140:190]), 5, 50, 0.8) == [(0, 56, 0, 56)]
