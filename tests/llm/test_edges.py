@@ -259,3 +259,19 @@ def test_passages_over_wide_gaps():
     swapped = substrings.passages(told(w[:90]), told(w[45:90] + w[:45]), 5, 50, 0.8)
     assert swapped == [(0, 86, 0, 86)]
     assert substrings.passages(told(w[:60] + w[100:130]), told(w[:60] + w[140:190]), 5, 50, 0.8) == [(0, 56, 0, 56)]
+
+
+def test_passages_around_a_common_line(spark, tmp_path):
+    """Pairs of rows share a passage around a line that all rows have, in another order on the later side."""
+    rng = random.Random(11)
+    line = [f"line{i}" for i in range(24)]
+    word = lambda k: [f"{rng.choice('abcdefgh')}{rng.randrange(10**9)}" for _ in range(k)]
+    shared = [(word(16), word(16)) for _ in range(150)]
+    text = lambda i: " ".join(word(30) + shared[i][0] + line + shared[i][1] + word(30))
+    later = list(range(150))
+    rng.shuffle(later)
+    rows = [(i, text(i)) for i in range(150)] + [(1000 + i, text(i)) for i in later]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "docs"))
+    got = substrings.report(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    found = {frozenset((r["doc_id"] % 1000, r["first_doc_id"] % 1000)) for r in got}
+    assert found == {frozenset((i,)) for i in range(150)}
