@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows_of
 from tonewise.functions import format as fmt
 from tonewise.operators import features, metrics, prepare, profile
-from tonewise.plans import models, serving, training
+from tonewise.plans import models, queries, serving, training
 from tonewise.sources import corpora, requests, sinks, timeline
 
 
@@ -185,3 +185,21 @@ def test_streamed_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(rows_of(spark.table("windows").select("posts", "toxic"))) == [(10, 5), (10, 5)]
+
+
+def test_score_documents_trains_at_full_size(spark, sf, monkeypatch):
+    asked = {}
+
+    class Stop(Exception):
+        pass
+
+    def fit(df, vectorizer, id_col="row_id", epochs=30):
+        asked["sizes"] = [size for _, size, _ in vectorizer.blocks]
+        asked["epochs"] = epochs
+        raise Stop
+
+    monkeypatch.setattr(queries.Ensemble, "fit", staticmethod(fit))
+    with pytest.raises(Stop):
+        queries.score_documents(spark, sf)
+    o = training.Options()
+    assert asked == {"sizes": [o.word_features, o.char_features], "epochs": o.epochs}

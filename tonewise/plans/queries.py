@@ -262,7 +262,7 @@ def timeline_extract(spark, sf_dir):
 
 def score_documents(spark, sf_dir):
     """Train on the labelled documents, score all documents by the serving path."""
-    model = Ensemble.fit(prepare.build_corpus([labelled(spark, sf_dir)]), features.Vectorizer(20_000, 20_000), epochs=10)
+    model = Ensemble.fit(prepare.build_corpus([labelled(spark, sf_dir)]), features.Vectorizer())
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return Classifier(model, META).analyze(docs).select("doc_id", "score", "is_toxic", "language", "threshold")
 
