@@ -82,7 +82,7 @@ def corpus_prepare(spark, sf_dir):
 
 
 def label_conflicts(spark, sf_dir):
-    """Texts without their digits and case as keys: rows of keys with both labels."""
+    """The first 12 characters of the lower-cased text as keys, as in the SQL: rows of keys with both labels."""
     rows = labelled(spark, sf_dir).withColumn("key", F.substring(F.lower("text"), 1, 12))
     sure = prepare.drop_label_conflicts(rows, "key")
     return rows.join(sure.select("row_id"), "row_id", "left_anti").select("row_id", "key", "is_toxic")
