@@ -1,8 +1,9 @@
 """The corpus pipeline: stages over documents, each written and read again.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept. All but the last return the columns of ``documents``. As ``docs`` is
-written, what the stage before kept in between is deleted when a stage begins.
+kept. All but the last return the columns of ``documents``. A stage's result is
+lazy and reads at most short lists that the stage has written (repeated lines by
+place, dropped ids); what else a stage writes in between it deletes itself.
 """
 
 from __future__ import annotations
@@ -11,18 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewise.llm import decontaminate, jaccard, langid, lines, packing
-from tonewise.llm.common import release, saved, table
+from tonewise.llm.common import saved, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: no letters, or a score under one half."""
-    release(spark)
     return langid.keep_known(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop repeated lines, and documents of which none is left; ``n_chars`` follows the text."""
-    release(spark)
     kept = lines.dedup(docs)
     if "n_chars" in kept.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -31,19 +30,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each group of near duplicates (five words, 0.8)."""
-    release(spark)
     return jaccard.one_of_each(docs, n=5, pct=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
-    release(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences; one row per piece."""
-    release(spark)
     return packing.report(docs)
 
 
@@ -64,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = saved(docs, f"pipeline-{name}", scratch=False)
+            docs = saved(docs, f"pipeline-{name}")
     return docs
