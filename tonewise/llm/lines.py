@@ -20,7 +20,10 @@ N with one character deleted.
 Defined cases: null text stays null; blank lines stay and match nothing.
 Repeated rows and lines are duplicates of the first. Documents of which no line
 is left have an empty text; ``dedup`` drops them, unless they had no line to
-begin with. Lines and texts are used whole. Other columns are kept.
+begin with. Lines and texts are used whole. Other columns are kept, whatever
+their names. Near matching is for lines of ``min_chars`` (20) characters or more,
+as one edit makes another word of a short one; equal lines of any length match.
+Rows are told by their place in a source that is read alike each time (``fixed``).
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonewise.llm.common import discard, saved
+from tonewise.llm.common import discard, fixed, saved
 
 THIRDS, FAN = 3, 8
 MAX_BROADCAST_ROWS = 300_000
@@ -55,17 +58,18 @@ def _stretches(s: Column, e: Column, parts: int) -> Column:
     return F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct(cut(i).alias("s"), cut(i + 1).alias("e")))
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """The rows whose key another line has as well."""
+def _met(rows: DataFrame, made: list[DataFrame]) -> DataFrame:
+    """The rows whose key another line has as well; the table of such keys is added to ``made``."""
     keys = rows.groupBy("key").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi")).where("lo < hi").select("key")
     keys = saved(keys, "lines-keys")
+    made.append(keys)
     if keys.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
         keys = F.broadcast(keys)
     return rows.join(keys, "key")
 
 
 def kept_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """(rid, at): the position of each line that stays; ``rid`` numbers the rows of ``docs`` as they are read."""
+    """(rid, at): the places of the lines that stay, a list for each row of ``docs`` that has some; ``docs`` is ``fixed``."""
     every = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), _lines(F.col(text_col)).alias("lines"))
     every = every.select("rid", "id", F.posexplode("lines").alias("at", "line")).where(~_blank(F.col("line")))
     every = every.withColumn("n", F.char_length("line"))
@@ -77,7 +81,8 @@ def kept_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> D
     distinct = distinct.groupBy("line_id", "check").agg(F.min("order").alias("order"), F.any_value("keys").alias("keys"))
     distinct = saved(distinct, "lines-distinct")
 
-    rows = _met(distinct.select("line_id", F.posexplode("keys").alias("which", "key")))
+    met: list[DataFrame] = []
+    rows = _met(distinct.select("line_id", F.posexplode("keys").alias("which", "key")), met)
     wanted = rows.join(distinct.select("line_id", "order"), "line_id").select("line_id", "which", "order")
     wanted = saved(wanted.distinct(), "lines-wanted")
     at = wanted.groupBy("line_id", "order").agg(F.collect_set("which").alias("which"))  # 2 * THIRDS numbers at most
@@ -93,7 +98,7 @@ def kept_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> D
         cut = cut.select("line_id", "order", "line", "size", "c.s", "c.e")
         cut = cut.withColumn("key", _variant(F.col("line"), F.col("size"), F.col("s"), F.col("e")))
         # A stretch of one character is cut no finer, but it is looked up again with the others.
-        step = saved(_met(cut).drop("key"), "lines-live")
+        step = saved(_met(cut, met).drop("key"), "lines-live")
         discard(live)
         live = step
     key = _variant(F.col("line"), F.col("size"), F.col("s"), F.col("e"))
@@ -101,7 +106,10 @@ def kept_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> D
     least = leaves.groupBy("key").agg(F.min(F.struct("order", "line")).alias("first"))
     later = leaves.join(least, "key").where(F.col("first.order") < F.col("order"))
     gone = later.where(F.levenshtein(F.col("line"), F.col("first.line"), 1).between(0, 1)).select("line_id", "order").distinct()
-    return distinct.join(gone, ["line_id", "order"], "left_anti").select(F.col("order.rid").alias("rid"), F.col("order.at").alias("at"))
+    kept = distinct.join(gone, ["line_id", "order"], "left_anti").groupBy(F.col("order.rid").alias("rid"))
+    kept = saved(kept.agg(F.collect_list("order.at").alias("at")), "lines-kept")  # as many numbers as the text has lines
+    discard(distinct, wanted, live, *met)
+    return kept
 
 
 def _first_keys(more: int) -> list[Column]:
@@ -115,39 +123,41 @@ def _first_keys(more: int) -> list[Column]:
     return out
 
 
-def _rebuilt(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``__text`` (what is left), ``__lines`` and ``__kept`` (lines that aren't blank: before and after)."""
+def _rebuilt(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that clash with nothing (also returned), with text (what is left), lines and kept (lines that aren't blank: before and after)."""
+    docs = fixed(docs)
     kept = kept_lines(docs, min_chars, id_col, text_col)
-    kept = kept.groupBy("rid").agg(F.collect_list("at").alias("__at"))  # as many numbers as the text has lines
-    rest = [c for c in docs.columns if c != text_col]
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    rest = [k for k, c in names.items() if c != text_col]
     # The text goes as its lines, split once.
-    rows = docs.select(*rest, F.monotonically_increasing_id().alias("__rid"), _lines(F.col(text_col)).alias("__l"))
-    rows = rows.join(kept.withColumnRenamed("rid", "__rid"), "__rid", "left")
-    blank = F.filter(F.sequence(F.lit(0), F.size("__l") - 1), lambda i: _blank(F.get("__l", i)))
-    rows = rows.select(*rest, "__l", F.coalesce("__at", F.array().cast("array<int>")).alias("__at"), blank.alias("__blank"))
-    text = F.array_join(F.transform(F.array_sort(F.concat("__at", "__blank")), lambda i: F.get("__l", i)), "\n")
-    some = F.col("__l").isNotNull()
-    return rows.select(
+    rows = docs.toDF(*names).select(*rest, F.monotonically_increasing_id().alias("rid"), _lines(F.col(f"c{docs.columns.index(text_col)}")).alias("l"))
+    rows = rows.join(kept, "rid", "left")
+    blank = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: _blank(F.get("l", i)))
+    rows = rows.select(*rest, "l", F.coalesce("at", F.array().cast("array<int>")).alias("at"), blank.alias("blank"))
+    text = F.array_join(F.transform(F.array_sort(F.concat("at", "blank")), lambda i: F.get("l", i)), "\n")
+    some = F.col("l").isNotNull()
+    rows = rows.select(
         *rest,
-        F.when(some, text).alias("__text"),
-        F.when(some, F.size("__l") - F.size("__blank")).otherwise(0).alias("__lines"),
-        F.size("__at").alias("__kept"),
+        F.when(some, text).alias("text"),
+        F.when(some, F.size("l") - F.size("blank")).otherwise(0).alias("lines"),
+        F.size("at").alias("kept"),
     )
+    return rows, names
 
 
 def dedup(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that stay; documents that lost all their lines go."""
-    rows = _rebuilt(docs, min_chars, id_col, text_col).where("__kept > 0 OR __lines = 0")
-    return rows.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    rows, names = _rebuilt(docs, min_chars, id_col, text_col)
+    return rows.where("kept > 0 OR lines = 0").select(*[F.col("text" if c == text_col else k).alias(c) for k, c in names.items()])
 
 
 def report(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     """Per document: the lines before and after, and what is left of the text by length and hash."""
-    rows = _rebuilt(docs.select("doc_id", "text"), min_chars, "doc_id", "text")
+    rows, _ = _rebuilt(docs.select("doc_id", "text"), min_chars, "doc_id", "text")
     return rows.select(
-        "doc_id",
-        F.col("__lines").cast("long").alias("n_lines"),
-        F.col("__kept").cast("long").alias("n_kept"),
-        F.char_length("__text").cast("long").alias("n_chars_left"),
-        F.sha2(F.col("__text"), 256).alias("text_sha256"),
+        F.col("c0").alias("doc_id"),
+        F.col("lines").cast("long").alias("n_lines"),
+        F.col("kept").cast("long").alias("n_kept"),
+        F.char_length("text").cast("long").alias("n_chars_left"),
+        F.sha2(F.col("text"), 256).alias("text_sha256"),
     )
