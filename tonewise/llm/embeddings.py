@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonewise.llm.common import components, saved
+from tonewise.llm.common import components, in_arrow, saved
 
 LEADING = 6
 BLOCK_ROWS = 2_048
@@ -46,7 +46,7 @@ def _principal(good: DataFrame, dims: int) -> np.ndarray:
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims * dims, dtype=np.int32)), pa.array(total.ravel())], names=["i", "s"])
 
-    rows = good.mapInArrow(moments, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()  # dims * dims
+    rows = in_arrow(good, moments, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()  # dims * dims
     m = np.zeros(dims * dims)
     for r in rows:
         m[r["i"]] = r["s"]
@@ -180,7 +180,7 @@ def _links(good: DataFrame, dims: int, cosine: float) -> DataFrame:
     """(a, n, b) rows for the distinct vectors ``good`` (vid, v, copies)."""
     eps = float(np.sqrt(2 - 2 * cosine))
     axes = _principal(good, dims)
-    cells = good.select("vid", "v", "copies").mapInArrow(_cells(axes, eps), "vid long, v array<double>, copies long, cell array<int>")
+    cells = in_arrow(good.select("vid", "v", "copies"), _cells(axes, eps), "vid long, v array<double>, copies long, cell array<int>")
     rows = saved(_blocks(saved(cells, "embeddings-grid")), "embeddings-blocks")
     k = axes.shape[1]
     boxes = rows.groupBy("first", "part").agg(
@@ -202,7 +202,7 @@ def _links(good: DataFrame, dims: int, cosine: float) -> DataFrame:
     )
     tasks = rows.join(sent, ["first", "part"]).select("g", "side", "vid", "v", "copies")
     tasks = tasks.repartition("g").sortWithinPartitions("g", "side")
-    return tasks.mapInArrow(_join(axes, eps, cosine), "a long, n long, b long")
+    return in_arrow(tasks, _join(axes, eps, cosine), "a long, n long, b long")
 
 
 def classes(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

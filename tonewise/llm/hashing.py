@@ -26,7 +26,7 @@ def mix1(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word (bytes) -> hash, remembered for the commonest words; bounded."""
 
-    MOST = 500_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonewise.llm.common import in_arrow
 from tonewise.llm.langid import held_out, remainder
 
 WORD = re.compile(r"[^\s.,;:!?\"()|]+")
@@ -230,4 +231,4 @@ def _score(model: Model):
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
+    return in_arrow(rows, _score(model), "doc_id long, held_out boolean, score double, predicted int")
