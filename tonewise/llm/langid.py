@@ -6,10 +6,11 @@ with an edge mark on both sides): 5 letters, then 4, 3, 2 and 1. A text's
 language has the largest sum; its score is the softmax of the sums, scaled
 to the evidence of ``EVIDENCE`` words where a text has more.
 
-The model is fitted on a bounded sample of labelled rows (``sample_rows``,
-chosen by a hash of the id) and keeps the ``max_words`` and ``max_grams``
-commonest entries. Scoring reads every text whole and never the label,
-source or id.
+The model is fitted on a bounded sample of labelled rows, ``sample_rows`` for
+each language, chosen by a hash of the id. Its size follows from the sample: all
+words and n-grams that the sample holds ``min_count`` times or more are entries.
+What is rarer counts as unknown, so a word seen once is scored by its n-grams like
+any unseen word. Scoring reads every text whole and never the label, source or id.
 
 Defined cases: null text, empty text and text without a letter are ``und``
 with score 0; so is everything if no labelled row exists. A row with a null id
@@ -26,14 +27,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonewise.llm.common import in_arrow
+
 WORD = re.compile(r"[^\W\d_]+")
 GRAMS = (5, 4, 3, 2, 1)
 EVIDENCE = 10
 #: Floats that a task keeps for words seen so far.
-MEMO_FLOATS = 4_000_000
+MEMO_FLOATS = 800_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -118,7 +122,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
             words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-        if sum(map(len, words.values())) > 100_000:
+        if sum(map(len, words.values())) > 30_000:
             yield out(words)
             words = {}
     yield out(words)
@@ -126,38 +130,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(
     docs: DataFrame,
-    sample_rows: int = 8_000,
-    max_words: int = 100_000,
-    max_grams: int = 100_000,
+    sample_rows: int = 1_000,
+    min_count: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> Model:
-    """Learn from at most about ``sample_rows`` rows whose remainder is not 0."""
+    """Learn from at most about ``sample_rows`` rows of each language whose remainder is not 0."""
+    lang = F.col(lang_col).cast("string")
     known = docs.where(F.col(lang_col).isNotNull() & (remainder(F.col(id_col)) != 0))
-    n = known.count()
-    if not n:
+    shares = {r["lang"]: sample_rows / r["n"] for r in known.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).collect()}  # a row a language
+    if not shares:
         return Model()
-    share = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1_000_000)) < F.lit(1_000_000 * sample_rows / n)
-    rows = known.where(share & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
-    )
-    counts = rows.mapInArrow(_count, "lang string, is_word boolean, token string, n long")
-    counts = counts.groupBy("is_word", "token", "lang").agg(F.sum("n").alias("n"))
-    tokens = counts.groupBy("is_word", "token").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
-    model = Model()
-    taken = []
-    for is_word, most in ((True, max_words), (False, max_grams)):
-        top = tokens.where((F.col("is_word") == is_word) & (F.col("total") > 1)).orderBy(F.desc("total"), "token").limit(most)
-        taken.append(top.select("token", "n").collect())  # at most ``most`` short rows
-    model.langs = sorted({k for part in taken for r in part for k in r["n"]})
+    dice = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1_000_000))
+    share = F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, 1e6 * v)])[lang]
+    rows = known.where((dice < share) & F.col(text_col).isNotNull()).select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
+    counts = in_arrow(rows, _count, "lang string, is_word boolean, token string, n long")
+    counts = counts.groupBy("is_word", "token", "lang").agg(F.sum("n").alias("n")).toArrow()  # what the sample holds
+    model = Model(sorted(set(counts.column("lang").unique().to_pylist())))
     at = {k: i for i, k in enumerate(model.langs)}
-    for part, index, name in zip(taken, (model.words, model.grams), ("word_logs", "gram_logs"), strict=True):
-        m = np.zeros((len(part), len(at)))
-        for i, r in enumerate(part):
-            index[r["token"]] = i
-            for k, v in r["n"].items():
-                m[i, at[k]] = v
+    for is_word, index, name in ((True, model.words, "word_logs"), (False, model.grams, "gram_logs")):
+        part = counts.filter(pa.compute.equal(counts.column("is_word"), is_word))
+        token = part.column("token").combine_chunks().dictionary_encode()
+        m = np.zeros((len(token.dictionary), len(at)))
+        langs = np.array([at[x] for x in part.column("lang").to_pylist()], np.int64)
+        m[token.indices.to_numpy(), langs] = part.column("n").to_numpy()
+        often = np.flatnonzero(m.sum(1) >= min_count)
+        index.update({t: i for i, t in enumerate(token.dictionary.take(pa.array(often)).to_pylist())})
+        m = m[often]
         setattr(model, name, np.log((m + 0.5) / (m.sum(0) + 0.5 * len(m) + 1)).astype(np.float32))
     return model
 
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
 
     rows = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).cast("string")]))
     schema = StructType([rows.schema[c] for c in keep]).add("lang_pred", StringType()).add("score", DoubleType())
-    return rows.mapInArrow(_label(model, text_col, keep), schema)
+    return in_arrow(rows, _label(model, text_col, keep), schema)
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
