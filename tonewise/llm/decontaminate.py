@@ -4,10 +4,13 @@ DataFrame functions only. Words are runs of ASCII letters, digits and all
 non-ASCII characters, with A-Z lower-cased. An item gives every window of
 ``n`` consecutive words; an item of fewer words (but not none) is one window.
 
-The hashes of all benchmark windows go to the tasks as one hash set; its size
-is checked first, and a larger set is joined by shuffle instead. Each document
-is read once: its windows are hashed and looked up inside the row, so only
-windows that hit leave it. A hit is then verified word for word.
+The hashes of all benchmark windows are broadcast as a hash set (with each
+window's words and items). Each document is read once: its windows are hashed
+inside the row, and the 8-byte hashes are looked up in the set, so only windows
+that hit go on. A hit is then verified word for word. The size of the set is
+checked: a suite of more than ``max_broadcast`` windows goes in parts by hash,
+each broadcast in its turn; documents are read once for each part, and nothing of
+them is shuffled but hits.
 
 Defined cases: null or empty text, or text without words, has no words and no
 hit. A null item text gives no window; rows with a null item_id are ignored.
@@ -17,15 +20,17 @@ are scanned whole. Columns other than the named ones are never read by name.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonewise.llm.common import ascii_lower, saved
+from tonewise.llm.common import ascii_lower, fixed, saved
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: The same before A-Z are lower-cased.
 RAW_GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
-#: Windows whose hashes may be sent to every task (8 bytes each).
+#: Windows (and items of theirs) that may be sent to every task at once.
 MAX_BROADCAST_WINDOWS = 200_000
 #: Contaminated documents (id, hash, spans) whose rows may be sent to every task.
 MAX_BROADCAST_ROWS = 100_000
@@ -57,29 +62,36 @@ def _hits(docs: DataFrame, windows: DataFrame, max_broadcast: int) -> DataFrame:
     ``docs`` has ``row_no``, ``w`` and further columns, which are kept.
     """
     keep = [c for c in docs.columns if c != "w"]
-    lengths = [r[0] for r in windows.select("w_len").distinct().collect()]  # n values at most
-    few = windows.select("w_key").limit(max_broadcast + 1).collect()
-    size = F.size("w")
-
-    def window(length: int):
-        return lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i, length), " ").alias("hit_words"))
-
-    if not few:
+    lengths = sorted(r[0] for r in windows.select("w_len").distinct().collect())  # n values at most
+    if not lengths:
         return docs.select(*keep, F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("w_len"),
                            F.lit(None).cast("array<string>").alias("w_items"))
-    if len(few) <= max_broadcast:
-        held = ",".join(f"{r[0]}L" if r[0] > -(2**63) else f"(-{2**63 - 1}L-1L)" for r in few)
-        found = "filter(sequence(1, size(w) - {0} + 1), i -> xxhash64(slice(w, i, {0})) IN ({1}))"
-        starts = {k: F.expr(found.format(k, held)) for k in lengths}
-    else:
-        starts = {k: F.sequence(F.lit(1), size - k + 1) for k in lengths}
-    none = F.array().cast("array<struct<at:int,hit_words:string>>")
-    parts = [F.when(size >= k, F.transform(starts[k], window(k))).otherwise(none) for k in sorted(lengths)]
-    out = docs.select(*keep, F.explode_outer(F.concat(*parts)).alias("hit")).select(*keep, "hit.*")
-    small = windows.select("w_words", "w_len", "w_items")
-    if len(few) <= max_broadcast:
-        small = F.broadcast(small)
-    return out.join(small, F.col("hit_words") == F.col("w_words"), "left").select(*keep, F.when(F.col("w_len").isNotNull(), F.col("at")).alias("at"), "w_len", "w_items")
+    weight = windows.agg(F.sum(1 + F.size("w_items"))).first()[0]
+    parts = -(-weight // (2 * max_broadcast)) if max_broadcast else windows.count()
+    size = F.size("w")
+    # One array of hashes: of the windows of the least length by their starts, then of the next. ``nth`` tells length and start.
+    none = F.array().cast("array<bigint>")
+
+    def hashed(length: int):
+        return lambda i: F.xxhash64(F.slice("w", i, length))
+
+    hashes = [F.when(size >= k, F.transform(F.sequence(F.lit(1), size - k + 1), hashed(k))).otherwise(none) for k in lengths]
+    rows = docs.select(*keep, "w", F.posexplode_outer(F.concat(*hashes)).alias("nth", "hash"))
+    before, length, at = F.lit(0), F.lit(lengths[0]), F.col("nth") + 1
+    for k, longer in zip(lengths[:-1], lengths[1:], strict=True):
+        before = before + F.greatest(size - k + 1, F.lit(0))
+        length = F.when(F.col("nth") >= before, longer).otherwise(length)
+        at = F.when(F.col("nth") >= before, F.col("nth") - before + 1).otherwise(at)
+    out = []
+    for part in range(parts):
+        held = F.broadcast(windows.where(F.pmod("w_key", F.lit(parts)) == part))
+        found = rows.join(held, F.col("hash") == F.col("w_key"), "inner" if part else "left")
+        if not part:
+            found = found.where("w_key IS NOT NULL OR coalesce(nth, 0) = 0")
+        same = F.array_join(F.slice("w", at, length), " ") == F.col("w_words")  # null where the hash is in no window
+        found = found.withColumn("same", F.coalesce(same, F.lit(False)))
+        out.append(found.select(*keep, *[F.when(F.col("same"), c).alias(name) for c, name in ((at, "at"), (F.col("w_len"), "w_len"), (F.col("w_items"), "w_items"))]))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def judge(
@@ -93,8 +105,8 @@ def judge(
     max_broadcast: int = MAX_BROADCAST_WINDOWS,
 ) -> DataFrame:
     """One row per document: id, n_words, spans [(at, end)] of hit words (1-based, inclusive, disjoint), n_hit, items."""
-    windows = benchmark_windows(benchmark, n, item_id_col, item_text_col)
-    base = docs.select(
+    windows = saved(benchmark_windows(benchmark, n, item_id_col, item_text_col), "decontaminate-windows")
+    base = fixed(docs).select(
         F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("key"), words(F.col(text_col)).alias("w")
     ).withColumn("n_words", F.size("w").cast("long"))
     found = (
@@ -134,27 +146,23 @@ def decontaminate(
     span cuts each hit word with the gap after it. Documents are matched to
     their verdict by (id, text), so equal rows share one verdict.
     """
-    cols = docs.columns
-    mark = docs.select(F.col(id_col).alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
-    hit = judge(
-        mark.withColumn("kh", F.struct("k", "h")).select("kh", "t"), benchmark, n, "kh", "t", **names
-    ).where("n_hit > 0")
-    hit = hit.groupBy("kh").agg(F.first("spans").alias("__spans")).select("kh.k", "kh.h", "__spans")
+    names_of = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*names_of)
+    key, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    mark = rows.select(F.struct(F.col(key).alias("k"), F.xxhash64(F.col(text).cast("string")).alias("h")).alias("kh"), F.col(text).alias("t"))
+    hit = judge(mark, benchmark, n, "kh", "t", **names).where("n_hit > 0")
+    hit = hit.groupBy("kh").agg(F.first("spans").alias("spans")).select("kh.k", "kh.h", "spans")
     hit = saved(hit, "decontaminate-hits")
     if hit.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
         hit = F.broadcast(hit)
-    on = docs[id_col].eqNullSafe(hit["k"]) & (F.xxhash64(docs[text_col]) == hit["h"])
+    on = rows[key].eqNullSafe(hit["k"]) & (F.xxhash64(rows[text].cast("string")) == hit["h"])
     if remove == "document":
-        return docs.join(hit, on, "left_anti")
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"^[{RAW_GAP}]+|[^{RAW_GAP}]+[{RAW_GAP}]*"), F.lit(0))
-    lead = F.when(F.col(text_col).rlike(f"^[{RAW_GAP}]"), 0).otherwise(1)
-    cut = F.array_join(
-        F.filter(pieces, lambda p, i: ~F.exists("__spans", lambda s: (i + lead >= s["at"]) & (i + lead <= s["end"]))), ""
-    )
-    joined = docs.join(hit, on, "left")
-    return joined.select(
-        *[F.when(F.col("__spans").isNull(), docs[c]).otherwise(cut).alias(c) if c == text_col else docs[c] for c in cols]
-    )
+        return rows.join(hit, on, "left_anti").select(*[F.col(k).alias(c) for k, c in names_of.items()])
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"^[{RAW_GAP}]+|[^{RAW_GAP}]+[{RAW_GAP}]*"), F.lit(0))
+    lead = F.when(F.col(text).rlike(f"^[{RAW_GAP}]"), 0).otherwise(1)
+    cut = F.array_join(F.filter(pieces, lambda p, i: ~F.exists("spans", lambda s: (i + lead >= s["at"]) & (i + lead <= s["end"]))), "")
+    joined = rows.join(hit, on, "left")
+    return joined.select(*[F.when(F.col("spans").isNull(), F.col(k)).otherwise(cut).alias(c) if k == text else F.col(k).alias(c) for k, c in names_of.items()])
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
