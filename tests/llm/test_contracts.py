@@ -78,7 +78,6 @@ def test_packing(spark, sf):
     from tonewise.llm.packing import vocabulary_path
 
     t = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = queries.op6_packing(spark, sf).collect()
     docs = documents(spark, sf)
     pieces, places = defaultdict(list), defaultdict(list)

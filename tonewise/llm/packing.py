@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonewise.llm.common import saved
+from tonewise.llm.common import in_arrow, saved
 
 #: Rows of one length that are numbered in one task.
 BUCKET_ROWS = 50_000
@@ -42,13 +42,18 @@ def vocabulary_path(name: str) -> str:
 
 
 class Tokenizer:
-    """Byte-level BPE. The rank file holds the same vocabulary and is the faster one; both give the same ids."""
+    """Byte-level BPE, by the ids of the JSON file, whose added tokens count as such in a text.
+
+    The rank file holds the same vocabulary without them and is the faster one:
+    it serves texts that hold none of the added tokens. Both give the same ids
+    there; the JSON file also serves texts that the other library gives up on.
+    """
 
     def __init__(self, json_path: str, ranks_path: str | None, pattern: str | None):
         import tokenizers
 
         self.whole = tokenizers.Tokenizer.from_file(json_path)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.fast = None
         if ranks_path and pattern:
             import tiktoken
@@ -58,7 +63,7 @@ class Tokenizer:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is not None:
+        if self.fast is not None and not any(t in text for t in self.added):
             try:
                 return self.fast.encode_ordinary(text)
             except BaseException as e:  # a panic of the library over a huge run of one kind of character
@@ -201,7 +206,7 @@ def pack(docs: DataFrame, most: int = 1024, end_id: int = 2, id_col: str = "doc_
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     )
-    pieces = saved(rows.mapInArrow(_pieces(most, end_id), PIECES), "packing-pieces")
+    pieces = saved(in_arrow(rows, _pieces(most, end_id), PIECES), "packing-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ``most`` rows
     table = slots(plan(histogram, most), most)
     buckets = {k: -(-n // BUCKET_ROWS) for k, n in histogram.items()}
@@ -217,7 +222,7 @@ def pack(docs: DataFrame, most: int = 1024, end_id: int = 2, id_col: str = "doc_
     inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("rid", "piece"))
     ranked = keyed.withColumn("inside", inside).join(before, ["length", "bucket"])
     ranked = ranked.select("rid", "doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("inside") - 1).alias("rank"))
-    return ranked.mapInArrow(_place(table), PIECES + ", sequence_id long, offset long")
+    return in_arrow(ranked, _place(table), PIECES + ", sequence_id long, offset long")
 
 
 def report(docs: DataFrame) -> DataFrame:
