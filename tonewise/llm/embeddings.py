@@ -4,15 +4,20 @@ Vectors are scaled to length 1, so a cosine of at least ``c`` is a distance of
 at most ``sqrt(2 - 2c)``: epsilon. They are projected on leading principal
 dimensions (from a d x d covariance, summed over all rows), cut into grid cells
 of side epsilon there and sorted by cell. The sorted sequence is dealt into
-blocks of at most ``BLOCK_ROWS``; pairs of blocks are joined recursively by
-halves, and a pair of intervals whose boxes lie more than epsilon apart in some
-leading dimension is skipped: projections shrink distances, so it holds no
-link. Cosines of what is left are computed from the given components in double
-precision; only counts and a spanning forest leave a task, never all pairs.
+blocks of ``BLOCK_BYTES``; pairs of blocks are joined recursively by halves, and
+a pair of intervals whose boxes of true projections lie more than epsilon apart
+(the squared gaps of all leading dimensions summed) is skipped: projections shrink
+distances, so it holds no link. Cosines of what is left are computed from the
+given components in double precision; only counts and a spanning forest leave a
+task, never all pairs.
 
-Which blocks may meet follows from their first cells: a block is sent to those
-whose cell ranges come within one cell. Cells with many blocks are split by
-hash. Vectors with the same components count as one with a multiplicity.
+Which blocks may meet follows from their boxes. Cells with many blocks are split
+by hash. Vectors with the same components count as one with a multiplicity.
+
+Where vectors spread evenly over many dimensions, few leading ones say little,
+boxes overlap and blocks meet nearly all others: the work then grows with the
+square of the distinct vectors, and each is sent once for each block, so blocks
+are as large as a task holds with ease.
 
 Defined cases: a vector that is null, empty, all zero, or holds a null or
 non-finite component links with nothing and is its own component. Vectors of
@@ -22,18 +27,22 @@ Repeated rows are vectors of their own. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonewise.llm.common import components, in_arrow, saved
+from tonewise.llm.common import components, discard, fixed, in_arrow, saved
 
 LEADING = 6
-BLOCK_ROWS = 2_048
+#: Components (8 bytes each) of a block; a task holds two blocks.
+BLOCK_BYTES = 4 << 20
 LEAF = 256
+#: Tasks that look for the pairs of blocks of one first cell.
+SALTS = 8
 
 
 def _principal(good: DataFrame, dims: int) -> np.ndarray:
@@ -61,14 +70,17 @@ def unit(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def _cells(axes: np.ndarray, eps: float):
-    """(vid, v, copies) -> the same and the grid cell on the leading dimensions."""
+    """(vid, v, copies) -> the same with the projection p on the leading dimensions and its grid cell."""
     dims = len(axes)
 
+    def lists(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cell = np.floor(unit(b.column("v"), dims) @ axes / eps).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cell) + 1) * cell.shape[1], pa.int32()), pa.array(cell.ravel()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vid", "v", "copies")), lists], names=["vid", "v", "copies", "cell"])
+            p = unit(b.column("v"), dims) @ axes
+            cell = np.floor(p / eps).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vid", "v", "copies")), lists(p), lists(cell)], names=["vid", "v", "copies", "p", "cell"])
 
     return run
 
@@ -92,8 +104,8 @@ class Joiner:
             if same and b1 <= a0 or a0 == a1 or b0 == b1:
                 continue
             p, q = a[1][a0:a1], b[1][b0:b1]
-            apart = np.maximum(q.min(0) - p.max(0), p.min(0) - q.max(0)).max()
-            if apart > self.eps * (1 + 1e-9):
+            gaps = np.maximum(np.maximum(q.min(0) - p.max(0), p.min(0) - q.max(0)), 0)
+            if (gaps * gaps).sum() > self.eps**2 * (1 + 1e-9):
                 continue
             if a1 - a0 <= LEAF and b1 - b0 <= LEAF:
                 i, j = np.nonzero(a[0][a0:a1] @ b[0][b0:b1].T >= self.cosine - 1e-9)
@@ -159,8 +171,8 @@ def _join(axes: np.ndarray, eps: float, cosine: float):
     return run
 
 
-def _blocks(cells: DataFrame) -> DataFrame:
-    """(vid, v, copies, first, part, nb): the first cell, and one of its nb blocks.
+def _blocks(cells: DataFrame, most: int) -> DataFrame:
+    """(vid, v, copies, first, part, p): the first cell, and one of its blocks of about ``most`` rows.
 
     Blocks of a first cell are ranges of the later cells in grid order while
     these differ; equal cells are cut by hash.
@@ -169,29 +181,34 @@ def _blocks(cells: DataFrame) -> DataFrame:
     at = Window.partitionBy("first")
     # One row for each occupied cell of a first cell; a running sum deals them into blocks in grid order.
     run = F.sum("n").over(at.orderBy("whole")) - F.col("n")
-    dealt = sizes.select("first", "whole", "n", F.floor(run / BLOCK_ROWS).cast("int").alias("low"), F.floor((run + F.col("n") - 1) / BLOCK_ROWS).cast("int").alias("high"))
+    dealt = sizes.select("first", "whole", "n", F.floor(run / most).cast("int").alias("low"), F.floor((run + F.col("n") - 1) / most).cast("int").alias("high"))
     dealt = saved(dealt, "embeddings-cells")
     joined = cells.join(dealt, cells["cell"] == dealt["whole"])
     part = F.col("low") + F.pmod(F.xxhash64("vid"), F.col("high") - F.col("low") + 1).cast("int")
-    return joined.select("vid", "v", "copies", "first", part.alias("part"), "cell")
+    return joined.select("vid", "v", "copies", "first", part.alias("part"), "p")
 
 
 def _links(good: DataFrame, dims: int, cosine: float) -> DataFrame:
     """(a, n, b) rows for the distinct vectors ``good`` (vid, v, copies)."""
     eps = float(np.sqrt(2 - 2 * cosine))
     axes = _principal(good, dims)
-    cells = in_arrow(good.select("vid", "v", "copies"), _cells(axes, eps), "vid long, v array<double>, copies long, cell array<int>")
-    rows = saved(_blocks(saved(cells, "embeddings-grid")), "embeddings-blocks")
+    cells = in_arrow(good.select("vid", "v", "copies"), _cells(axes, eps), "vid long, v array<double>, copies long, p array<double>, cell array<int>")
+    cells = saved(cells, "embeddings-grid")
+    rows = saved(_blocks(cells, max(1, BLOCK_BYTES // (8 * dims))), "embeddings-blocks")
+    discard(cells)
     k = axes.shape[1]
     boxes = rows.groupBy("first", "part").agg(
-        *[F.min(F.col("cell")[i]).alias(f"lo{i}") for i in range(k)], *[F.max(F.col("cell")[i]).alias(f"hi{i}") for i in range(k)]
+        *[F.min(F.col("p")[i]).alias(f"lo{i}") for i in range(k)], *[F.max(F.col("p")[i]).alias(f"hi{i}") for i in range(k)]
     )
-    boxes = saved(boxes, "embeddings-boxes")
-    a, b = boxes.alias("a"), boxes.alias("b")
-    near = a.select("*", F.explode(F.array(F.col("first"), F.col("first") + 1)).alias("meets")).alias("a").join(b, F.col("meets") == F.col("b.first"))
+    boxes = saved(boxes, "embeddings-boxes").withColumn("salt", F.pmod("part", F.lit(SALTS)))
+    # Blocks of a first cell and of the next may meet; each looks for partners of every salt.
+    here = boxes.select("*", F.explode(F.array(F.col("first"), F.col("first") + 1)).alias("meets")).drop("salt")
+    here = here.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    a, b = here.alias("a"), boxes.alias("b")
+    near = a.join(b, (F.col("a.meets") == F.col("b.first")) & (F.col("a.salt") == F.col("b.salt")))
     near = near.where((F.col("a.first") < F.col("b.first")) | (F.col("a.part") <= F.col("b.part")))
-    for i in range(k):  # more than one cell apart is more than epsilon apart
-        near = near.where((F.col(f"a.lo{i}") <= F.col(f"b.hi{i}") + 1) & (F.col(f"b.lo{i}") <= F.col(f"a.hi{i}") + 1))
+    gaps = [F.greatest(F.col(f"b.lo{i}") - F.col(f"a.hi{i}"), F.col(f"a.lo{i}") - F.col(f"b.hi{i}"), F.lit(0.0)) for i in range(k)]
+    near = near.where(functools.reduce(Column.__add__, [g * g for g in gaps]) <= eps**2 * (1 + 1e-9))
     pairs = saved(
         near.select(F.col("a.first").alias("f0"), F.col("a.part").alias("p0"), F.col("b.first").alias("f1"), F.col("b.part").alias("p1")), "embeddings-pairs"
     )
@@ -208,7 +225,7 @@ def _links(good: DataFrame, dims: int, cosine: float) -> DataFrame:
 def classes(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
     v = F.col(vector_col).cast("array<double>")
-    base = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    base = fixed(vectors).select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), v.alias("v"))
     fit = F.coalesce(
         (F.size("v") > 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
