@@ -6,8 +6,11 @@ per character, share of spaces), until every leaf holds its target bytes. A
 median is found digit by digit: sums of bytes by the next 16 bits of the order
 key, of which only the crossing digit is kept, so neither rows nor values are
 gathered. Order keys end in bits of the text's hash: equal texts have the same
-key in every dimension and stay together, unless the cut would then miss its
-place by more than ``slack`` of a leaf; such a group is cut among its rows.
+key in every dimension and stay together. Where a median falls into a group of
+equal texts, and leaving it on either side would miss the median by more than
+``slack`` of a leaf, the whole group goes left and the median of the other rows
+is taken for what is then missing. Only a group larger than a leaf is cut among
+its rows.
 
 Rows are numbered in two levels (hash buckets of bounded size, then rows).
 
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonewise.llm.common import discard, saved
+from tonewise.llm.common import discard, fixed, saved
 
 BUCKET_ROWS = 50_000
 DIMS = ("k_size", "k_width", "k_spaces")
@@ -42,7 +45,7 @@ def _of(values: dict[int, int], kind: str = "bigint") -> Column:
 def _select(rows: DataFrame, targets: dict[int, int]) -> dict[int, tuple[int, int, int]]:
     """For each node its least key at which the running sum of weights passes the target: (key, sum before, sum at key).
 
-    ``rows`` has node, key, weight; every node has rows.
+    ``rows`` has node, key, weight; a node without rows has no answer.
     """
     prefix, below, at = dict.fromkeys(targets, 0), dict.fromkeys(targets, 0), {}
     for i in range(DIGITS):
@@ -56,7 +59,7 @@ def _select(rows: DataFrame, targets: dict[int, int]) -> dict[int, tuple[int, in
             prefix[n] = (prefix[n] << DIGIT) | x["digit"]
             below[n] += x["run"] - x["w"]
             at[n] = x["w"]
-    return {n: (prefix[n], below[n], at[n]) for n in targets}
+    return {n: (prefix[n], below[n], at[n]) for n in at}
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -102,7 +105,20 @@ def leaves(rows: DataFrame, shards: int, slack: float = 0.002) -> DataFrame:
             key = F.when(widest == i, F.col(k)).otherwise(key)
         keyed = rows.withColumn("key", key)
         cuts = _select(keyed.select("node", "key", F.col("size").alias("weight")), goals)
-        tight = {n: goals[n] - x[1] for n, x in cuts.items() if min(goals[n] - x[1], x[1] + x[2] - goals[n]) > slack * total / shards}
+        leaf, held = total / shards, {}
+
+        def misses(n: int, cuts=cuts, goals=goals, leaf=leaf) -> bool:
+            return min(goals[n] - cuts[n][1], sum(cuts[n][1:]) - goals[n]) > slack * leaf
+
+        whole = {n for n in cuts if misses(n) and cuts[n][2] <= leaf}
+        if whole:  # such groups are set aside, and the cut is sought among the other rows
+            held = {n: cuts[n][0] for n in whole}
+            aside = {n: int(cuts[n][2] <= goals[n]) for n in whole}  # to the left, where that has room
+            rest = {n: goals[n] - aside[n] * cuts[n][2] for n in whole}
+            again = _select(keyed.where(F.col("key") != _of(held)).select("node", "key", F.col("size").alias("weight")), rest)
+            goals |= rest
+            cuts.update({n: again.get(n, (0, 0, 0)) for n in whole})
+        tight = {n: goals[n] - x[1] for n, x in cuts.items() if misses(n) and x[2] > leaf}
         at = _of({n: k for n, (k, _, _) in cuts.items()})
         inner = {}
         if tight:
@@ -111,6 +127,8 @@ def leaves(rows: DataFrame, shards: int, slack: float = 0.002) -> DataFrame:
         # Of the group at the cut, the rows whose own key is below this go left: all, none, or those up to the inner cut.
         own = {n: inner[n][0] if n in tight else 2**63 - 1 if 2 * (goals[n] - x[1]) >= x[2] else 0 for n, x in cuts.items()}
         left = (F.col("key") < at) | ((F.col("key") == at) & (F.col("own") < _of(own)))
+        if held:
+            left = F.when(F.col("key") == _of(held), _of(aside) == 1).otherwise(left)
         step = F.when(at.isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(left, 0).otherwise(1))
         placed = saved(keyed.withColumn("node", step.cast("int")).drop("key"), "sharding-level")
         if len(parts) > 1:
@@ -144,10 +162,15 @@ def assign(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` as Parquet, a folder for each shard, with their slots."""
+    """Write ``docs`` as Parquet, a folder ``shard=N`` for each shard; a column ``slot`` is added.
+
+    Columns of ``docs`` keep their names; one that is called shard or slot is written as ``own_shard`` or ``own_slot``.
+    """
+    docs = fixed(docs)
     place = assign(docs, shards, id_col, text_col).select("rid", "shard", "slot")
-    rows = docs.withColumn("rid", F.monotonically_increasing_id()).join(place, "rid").drop("rid")
-    rows.write.partitionBy("shard").parquet(path)
+    names = {f"c{i}": f"own_{c}" if c in ("shard", "slot") else c for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*names).withColumn("rid", F.monotonically_increasing_id()).join(place, "rid")
+    rows.select(*[F.col(k).alias(c) for k, c in names.items()], "slot", "shard").write.partitionBy("shard").parquet(path)
 
 
 def report(docs: DataFrame) -> DataFrame:
