@@ -6,12 +6,13 @@ the word. Windows of ``window`` words are averaged and a linear softmax tells
 the two labels; embeddings and softmax are trained together in numpy. Training
 starts from all windows of a text; each later epoch takes of a toxic text the
 windows that the model finds most toxic, so a long text isn't diluted. A text's
-score joins three averages, of its most toxic window, of its most toxic
-``4 * window`` words and of all its words, by a logistic. That is fitted last, on
-the fifth of the sample that the embeddings are not trained on.
+score is the softmax's own, of its most toxic run of ``window`` words. The softmax
+is scaled last (a temperature and a bias), on the fifth of the sample that it is
+not trained on, so that 0.5 parts the labels.
 
-It is fitted on a bounded sample of labelled rows (``max_toxic`` and
-``max_clean``, chosen by a hash of the id) whose remainder is not 0. Scoring
+It is fitted on a bounded sample of labelled rows whose remainder is not 0:
+``max_toxic`` and ``max_clean`` ids, chosen by a hash of the id, one text each, of
+``max_chars`` characters at most (longer ones are not learned from). Scoring
 reads every text whole; labels, language, source and id are no input.
 
 Defined cases: null, empty or wordless text scores 0. Without labelled rows of
@@ -38,7 +39,7 @@ from tonewise.llm.langid import held_out, remainder
 
 WORD = re.compile(r"[^\s.,;:!?\"()|]+")
 BUCKETS, DIMS, SIZES = 1 << 18, 10, (3, 4, 5)
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 def features(word: str) -> list[int]:
@@ -50,18 +51,18 @@ def features(word: str) -> list[int]:
 
 @dataclass
 class Model:
-    """What is left of a trained model: a weight for each bucket, and how a text's averages are joined."""
+    """What is left of a trained model: for each bucket its part of the difference of the softmax's two logits, and their bias."""
 
     weights: np.ndarray
     window: int
-    join: np.ndarray | None = None
+    bias: float | None = None
 
 
-def averages(x: np.ndarray, window: int) -> list[float]:
-    """The largest mean of ``window`` words in a row, of four times as many, and of all."""
+def most(x: np.ndarray, window: int) -> float:
+    """The largest mean of ``window`` words in a row, or of all where they are fewer."""
     c = np.concatenate(([0.0], np.cumsum(x)))
-    sizes = [min(w, len(x)) for w in (window, 4 * window)]
-    return [*(float((c[w:] - c[:-w]).max() / w) for w in sizes), float(c[-1] / len(x))]
+    w = min(window, len(x))
+    return float((c[w:] - c[:-w]).max() / w)
 
 
 class Trainer:
@@ -121,7 +122,7 @@ class Trainer:
         self.bias -= rate * g_bias / np.sqrt(self.g_bias)
 
     def model(self) -> Model:
-        return Model(self.emb @ (self.out[:, 1] - self.out[:, 0]), self.window)
+        return Model(self.emb @ (self.out[:, 1] - self.out[:, 0]), self.window, float(self.bias[1] - self.bias[0]))
 
     def per_word(self) -> np.ndarray:
         return np.add.reduceat(self.model().weights[self.feats], self.starts[:-1]) / np.diff(self.starts)
@@ -130,23 +131,23 @@ class Trainer:
         per = self.per_word()
         return np.add.reduceat(per[self.words], self.wstarts[:-1]) / np.diff(self.wstarts) + self.bias[1] - self.bias[0]
 
-    def joined(self) -> Model:
-        """The model with the logistic over the averages of each text, fitted by Newton's method."""
-        per, model = self.per_word()[self.words], self.model()
+    def scale(self) -> None:
+        """Fit the softmax's temperature and bias by Newton's method, on the texts set aside."""
+        per = self.per_word()[self.words]
         first = np.flatnonzero(np.concatenate(([True], np.diff(self.doc) > 0)))
         ends = np.append(self.wstarts[first], len(per))
-        x = np.array([[1.0, *averages(per[a:b], self.window)] for a, b in zip(ends[:-1], ends[1:], strict=True)])
-        scale = np.append(1.0, x[:, 1:].std(0) + 1e-9)
-        x, y, w = x / scale, self.label[first], np.zeros(4)
+        x, y = np.array([most(per[a:b], self.window) for a, b in zip(ends[:-1], ends[1:], strict=True)]), self.label[first]
         use = self.aside[first]
         if len(set(y[use])) == 2:
             x, y = x[use], y[use]
+        spread = x.std() + 1e-9
+        x, w = np.stack([np.ones_like(x), x / spread], 1), np.zeros(2)
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(4)
+            h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
             w -= np.linalg.solve(h, x.T @ (p - y) + 0.1 * w)
-        model.join = w / scale
-        return model
+        self.out *= np.float32(w[1] / spread)
+        self.bias[:] = 0, w[0]
 
     def fit(self, epochs: int, clean_windows: int, rate: float = 0.3, size: int = 128) -> Model:
         toxic, clean = (np.flatnonzero((self.label == y) & ~self.aside) for y in (1, 0))
@@ -168,11 +169,12 @@ class Trainer:
             both = self.rng.permutation(np.concatenate([pos, neg]))
             for i in range(0, len(both), size):
                 self.step(both[i : i + size], self.label[both[i : i + size]], rate)
-        return self.joined()
+        self.scale()
+        return self.model()
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2_000, max_clean: int = 4_000, window: int = 8, epochs: int = 5,
-        clean_windows: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2_000, max_clean: int = 4_000, max_chars: int = 20_000, window: int = 4,
+        epochs: int = 5, clean_windows: int = 20_000) -> Model:
     known = labels.where(F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id")) != 0)).select("doc_id", "toxic")
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     none = Model(np.zeros(1, np.float32), window)
@@ -181,14 +183,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2_000, max_clean: i
     dice = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1_000_000))
     share = F.when(F.col("toxic") == 1, 1e6 * max_toxic / n[1]).otherwise(1e6 * max_clean / n[0])
     sample = known.where(dice < share).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = (
-        docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(sample), "doc_id")  # the sample's bound holds for it
-        .where(F.col("text").isNotNull())
-        .select("text", "toxic", "doc_id")
-        .toArrow()
-        .sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    )
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", text.alias("text")).where(F.col("text").isNotNull() & (F.char_length("text") <= max_chars))
+    rows = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = rows.toArrow().sort_by("doc_id")  # the sample's bounds hold for it
     trainer = Trainer(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), window)
     if len(set(trainer.label[~trainer.aside])) < 2:
         return none
@@ -206,12 +204,11 @@ class Scorer(dict):
 
     def __call__(self, text: str | None) -> float:
         words = WORD.findall(text.lower()) if text else []
-        if not words or self.model.join is None:
+        if not words or self.model.bias is None:
             return 0.0
         if len(self) > MEMO_WORDS:
             self.clear()
-        x = np.fromiter(map(self.__getitem__, words), np.float64, len(words))
-        z = self.model.join @ [1.0, *averages(x, self.model.window)]
+        z = most(np.fromiter(map(self.__getitem__, words), np.float64, len(words)), self.model.window) + self.model.bias
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
