@@ -16,8 +16,10 @@ prior, so it passes.
 
 Every level is a grouped count and a join; what a level keeps of a node (at
 most 1 / ``share`` segments and shapes) is small, and a host with a third of all
-urls is pre-aggregated and its join side can be split. Segments from
-``max_depth`` on are one segment ``**``.
+urls is pre-aggregated and its join side can be split. Of a node with fewer urls
+than ``least`` no segment can be frequent: each of its remaining segments is ``*``
+at once, so there are as many levels as the paths that ``least`` urls share, and
+none is cut off.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path
 and is judged as a host of its own. Empty segments are skipped. Repeated rows
@@ -31,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonewise.llm.common import saved
+from tonewise.llm.common import discard, saved
 
 #: (verdict, host, path) of the registered query.
 RULES = (
@@ -67,7 +69,7 @@ def judged(rules, host: Column, path: Column) -> tuple[Column, Column]:
 def _frequent(live: DataFrame, part: str, share: float, least: int) -> DataFrame:
     """(host, tpl, part, n, bad, good): what enough urls of a node have in ``part``."""
     counts = [F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")]
-    each = saved(live.groupBy("host", "tpl", part).agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")), "urls-counts")
+    each = live.groupBy("host", "tpl", part).agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     total = each.groupBy("host", "tpl").agg(counts[0].alias("total"))
     return each.join(total, ["host", "tpl"]).where((F.col("n") >= least) & (F.col("n") >= share * F.col("total"))).drop("total")
 
@@ -91,24 +93,32 @@ def _merged(literals: DataFrame) -> DataFrame:
     return rows.select("host", "tpl", "seg", F.array_join(names, "|").alias("token"))
 
 
-def templates(urls: DataFrame, share: float = 0.02, least: int = 5, max_depth: int = 12) -> DataFrame:
-    """``urls`` (rid, host, path, bad, good) with their template ``tpl``."""
+def templates(urls: DataFrame, share: float = 0.02, least: int = 5) -> DataFrame:
+    """``urls`` (rid, host, path, bad, good) with their template ``tpl``, as a table made by ``saved``."""
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    deep = F.when(F.size(segs) > max_depth, F.concat(F.slice(segs, 1, max_depth), F.array(F.lit("**")))).otherwise(segs)
-    live = saved(urls.select("rid", "host", "bad", "good", deep.alias("segs"), F.lit("").alias("tpl")), "urls-live")
-    done = []
+    live = saved(urls.select("rid", "host", "bad", "good", segs.alias("segs"), F.lit("").alias("tpl")), "urls-live")
+    made, done = [live], []
     depth = 0
     while live.limit(1).count():
         done.append(live.where(F.size("segs") <= depth).select("rid", "host", "tpl", "bad", "good"))
-        rows = live.where(F.size("segs") > depth).withColumn("seg", F.get("segs", F.lit(depth)))
+        rows = live.where(F.size("segs") > depth)
+        nodes = rows.groupBy("host", "tpl").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        nodes = saved(nodes.select("host", "tpl", F.lit(True).alias("many")), "urls-nodes")
+        rows = rows.join(nodes, ["host", "tpl"], "left")
+        few = F.concat("tpl", F.repeat(F.lit("/*"), F.size("segs") - depth)).alias("tpl")
+        done.append(rows.where("many IS NULL").select("rid", "host", few, "bad", "good"))
+        rows = rows.where("many").drop("many").withColumn("seg", F.get("segs", F.lit(depth)))
         rows = rows.withColumn("shape", F.regexp_replace("seg", "[0-9]+", "#"))
         literal = saved(_merged(_frequent(rows, "seg", share, least)), "urls-segments")
         shape = saved(_frequent(rows, "shape", share, least).select("host", "tpl", "shape", F.col("shape").alias("known")), "urls-shapes")
         rows = rows.join(literal, ["host", "tpl", "seg"], "left").join(shape, ["host", "tpl", "shape"], "left")
         token = F.coalesce("token", F.when(F.col("known").isNotNull(), F.concat(F.lit("{"), "known", F.lit("}"))), F.lit("*"))
         live = saved(rows.select("rid", "host", "bad", "good", "segs", F.concat("tpl", F.lit("/"), token).alias("tpl")), "urls-live")
+        made += [nodes, literal, shape, live]
         depth += 1
-    return reduce(DataFrame.unionByName, done) if done else live.select("rid", "host", "tpl", "bad", "good")
+    out = saved(reduce(DataFrame.unionByName, done) if done else live.select("rid", "host", "tpl", "bad", "good"), "urls-templates")
+    discard(*made)
+    return out
 
 
 def verdicts(pages: DataFrame, rules=RULES, strength: float = 2.0, prior: float = 0.1, reject: float = 0.6, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -119,7 +129,7 @@ def verdicts(pages: DataFrame, rules=RULES, strength: float = 2.0, prior: float
     base = base.withColumn("rule", rule).withColumn("ruled", verdict)
     bad, good = (F.coalesce(F.col("ruled") == x, F.lit(False)).cast("long") for x in ("block", "allow"))
     base = saved(base.withColumn("bad", bad).withColumn("good", good), "urls-judged")
-    leaves = saved(templates(base.select("rid", "host", "path", "bad", "good")), "urls-templates")
+    leaves = templates(base.select("rid", "host", "path", "bad", "good"))
     purity = (F.sum("bad") + strength * prior) / (F.sum("bad") + F.sum("good") + strength)
     pure = saved(leaves.groupBy("host", "tpl").agg(purity.alias("purity")), "urls-purity")
     found = leaves.join(pure, ["host", "tpl"]).select("rid", "tpl", "purity")
