@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and further columns, with brute force where results are exact."""
 
+import math
 import random
 import re
 import zlib
@@ -154,7 +155,7 @@ def test_decontaminate_removes(spark):
 
 
 def test_embeddings_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(embeddings, "BLOCK_BYTES", 16 * 8 * 8)
     monkeypatch.setattr(embeddings, "LEAF", 4)
     rng = np.random.default_rng(2)
     centre = rng.normal(size=(9, 8))
@@ -208,11 +209,49 @@ def test_ids_are_those_of_the_json_file():
     packing._LOADED.clear()
 
 
-def test_copies_share_a_shard(spark):
-    rows = [(i, f"text {i} " * (i % 17 + 1), "en") for i in range(400)] + [(1000 + i, "copy of one " * 9, "en") for i in range(300)]
+def test_copies_share_a_shard(spark, tmp_path):
+    """Groups of equal texts of up to a leaf stay whole, and sizes are near equal all the same; a larger group is cut."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(197):
+        rows += [(len(rows) + i, f"text {g} " * rng.randint(20, 500), "en") for i in range(rng.randint(1, 8)) for _ in [rng.seed(g)]]
+    leaf = sum(len(t) + 1 for _, t, _ in rows) / 16
+    rows += [(10_000 + i, "x" * int(leaf / 4), "en") for i in range(3)]
+    got = sharding.assign(table(spark, rows), 16).collect()
+    size = np.bincount([r["shard"] for r in got], [r["size"] for r in got])
+    homes = {}
+    for r in got:
+        homes.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+    assert all(len(x) == 1 for x in homes.values()) and len(size) == 16
+    group = max(sum(r["size"] for r in got if (r["text_crc32"], r["size"]) == k) for k in homes)
+    assert size.max() - size.min() <= 2 * group
+    rows = [(i, f"text {i} " * (i % 17 + 1), "en") for i in range(400)] + [(1000 + i, "copy of one " * 9, "en") for i in range(3000)]
     got = sharding.assign(table(spark, rows), 4).collect()
     size = np.bincount([r["shard"] for r in got], [r["size"] for r in got])
     assert size.max() - size.min() <= 0.02 * size.sum() and len(size) == 4
+    docs = table(spark, rows[:40]).withColumn("slot", F.lit(5)).withColumnRenamed("size", "shard")
+    sharding.write_shards(docs, str(tmp_path / "shards"), 4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == 40 and {"own_shard", "own_slot", "shard", "slot", "rid"} <= set(back.columns)
+    assert {(r["doc_id"], r["text"]) for r in back.collect()} == {(i, t) for i, t, _ in rows[:40]}
+
+
+def test_weighted_medians_by_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(n, rng.choice([0, 5, 2**62, rng.randrange(2**63)]), rng.randint(1, 9)) for n in (1, 2, 3) for _ in range(200)]
+    goals = {1: 0, 2: 500, 3: 10**9, 4: 7}
+    got = sharding._select(spark.createDataFrame(rows, "node int, key long, weight long"), goals)
+    want = {}
+    for n in (1, 2, 3):
+        run = 0
+        keys = sorted({k for m, k, _ in rows if m == n})
+        for k in keys:
+            w = sum(x for m, j, x in rows if m == n and j == k)
+            want[n] = (k, run, w)
+            run += w
+            if run > goals[n]:
+                break
+    assert got == want
 
 
 def test_urls_odd(spark):
@@ -248,6 +287,19 @@ def test_subwords_catch_misspellings():
     assert score(" ".join(clean[:30] + ["abominabel", "dreadfulnes"])) > 0.5 > score(" ".join(clean[:30]))
 
 
+def test_toxicity_score_is_the_softmax_of_the_most_toxic_window():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["calm", "quiet", "stone", "river", "vile", "Foul"][: 4 + 2 * (i % 2)], k=rng.randint(1, 9))) for i in range(80)]
+    trainer = toxicity.Trainer(texts, [i % 2 for i in range(80)], 3)
+    score = toxicity.Scorer(trainer.fit(3, 200))
+    for text in [*texts[:20], "unseen words only", "vile"]:
+        words = [np.mean([trainer.emb[f] for f in toxicity.features(w)], 0) for w in text.lower().split()]
+        runs = [np.mean(words[i : i + 3], 0) for i in range(max(1, len(words) - 2))]
+        z = [r @ trainer.out + trainer.bias for r in runs]
+        assert abs(score(text) - max(np.exp(x[1]) / np.exp(x).sum() for x in z)) < 1e-4
+    assert score("") == score(None) == score(" ,. ") == 0.0
+
+
 def test_backoff():
     model = langid.Model(["a", "b"], {"known": 0}, {"<x": 0, "y": 1}, np.log([[0.9, 0.1]]), np.log([[0.2, 0.8], [0.6, 0.4]]))
     score = langid.Scorer(model)
@@ -326,3 +378,114 @@ def test_language_scores_by_brute_force(spark):
         best = max(sorted(total), key=total.get)
         gap = (min(total.values()) - max(total.values())) * min(1, 10 / len(found))
         assert got[i][0] == best and abs(got[i][1] - 1 / (1 + np.exp(gap))) < 1e-4
+
+
+def words_of(rng, k):
+    return [f"{rng.choice('abcdefghij')}{rng.randrange(10**6)}" for _ in range(k)]
+
+
+def passage_pairs(spark, path, rows):
+    """Pairs of rows that share a passage, read from one file in order of ids."""
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).sortWithinPartitions("doc_id").write.parquet(path)
+    return {(r["doc_id"], r["first_doc_id"]) for r in substrings.report(spark.read.parquet(path)).collect()}
+
+
+def test_nested_quotes(spark, tmp_path):
+    """Half, other half, whole, and again: the whole passages find each other."""
+    rng = random.Random(1)
+    rows = []
+    for _ in range(100):
+        a, b = words_of(rng, 45), words_of(rng, 45)
+        rows += [(len(rows) + j, " ".join(words_of(rng, 30) + x + words_of(rng, 30))) for j, x in enumerate((a, b, a + b, a, b, a + b))]
+    found = passage_pairs(spark, str(tmp_path / "docs"), rows)
+    assert all((i + 5, i + 2) in found for i in range(0, 600, 6))
+
+
+def test_recall_of_overlapping_and_edited_passages(spark, tmp_path):
+    rng = random.Random(6)
+    rows, need = [], set()
+    for _ in range(60):
+        s = [words_of(rng, 20) for _ in range(6)]
+        spans = [(0, 2), (2, 4), (1, 3), (4, 6), (3, 5), (0, 6), (0, 3), (3, 6), (0, 6)]
+        rng.shuffle(spans)
+        for j, (a, b) in enumerate(spans):
+            need |= {(len(rows), len(rows) - j + i) for i in range(j) if min(b, spans[i][1]) - max(a, spans[i][0]) >= 3}
+            rows.append((len(rows), " ".join(words_of(rng, rng.randint(10, 60)) + sum(s[a:b], []) + words_of(rng, rng.randint(10, 60)))))
+    found = passage_pairs(spark, str(tmp_path / "quotes"), rows)
+    assert len(need & found) >= 0.97 * len(need) > 100
+
+    rows, need = [], set()
+    for size in (55, 80, 200):
+        for edits in (1, 2, 4):
+            for _ in range(60):
+                x = words_of(rng, size)
+                y = list(x)
+                for at in rng.sample(range(size), edits):
+                    y[at] = "edited"
+                a, b = ({tuple(w[i : i + 5]) for i in range(size - 4)} for w in (x, y))
+                if len(a & b) >= 0.8 * len(a | b):
+                    need.add((len(rows) + 1, len(rows)))
+                rows += [(len(rows) + i, " ".join(words_of(rng, 40) + w + words_of(rng, 40))) for i, w in enumerate((x, y))]
+    found = passage_pairs(spark, str(tmp_path / "edits"), rows)
+    assert len(need & found) >= 0.95 * len(need) > 100
+
+
+def test_windows_of_a_very_long_text():
+    h = np.random.default_rng(0).integers(0, 2**63, 2**24 + 1000, dtype=np.uint64) * np.uint64(2)
+    a, c, b = substrings.windows(h, np.array([0]), np.array([len(h)]), 2**23)
+    assert (a[0], c[0], b[0]) == (0, int(h.argmin()), len(h))
+    assert all(x <= y < z and y == x + int(h[x:z].argmin()) for x, y, z in zip(a, c, b, strict=True))
+
+
+def grown(rows, tpl="", depth=0, share=0.02, least=5):
+    """The template tree written out plainly: rid -> template, of rows (rid, segments, bad, good)."""
+    out = {r[0]: tpl for r in rows if len(r[1]) <= depth}
+    rows = [r for r in rows if len(r[1]) > depth]
+    if len(rows) < least:
+        return out | {r[0]: tpl + "/*" * (len(r[1]) - depth) for r in rows}
+
+    def frequent(part):
+        count = {}
+        for r in rows:
+            n, bad, good = count.get(part(r), (0, 0, 0))
+            count[part(r)] = (n + 1, bad + r[2], good + r[3])
+        return {k: v for k, v in count.items() if v[0] >= least and v[0] >= share * len(rows)}
+
+    def differ(x, y):
+        for i in (1, 2):
+            p = (x[i] + y[i]) / (x[0] + y[0])
+            if abs(x[i] / x[0] - y[i] / y[0]) > urls.Z * math.sqrt(p * (1 - p) * (1 / x[0] + 1 / y[0])):
+                return True
+        return False
+
+    literal, branches, before = frequent(lambda r: r[1][depth]), [], None
+    for seg in sorted(literal, key=lambda k: (literal[k][1] / literal[k][0], literal[k][2] / literal[k][0], k)):
+        if before is None or differ(literal[seg], literal[before]):
+            branches.append([])
+        branches[-1].append(seg)
+        before = seg
+    names = {seg: "|".join(sorted(b)) for b in branches for seg in b}
+    shapes = frequent(lambda r: re.sub("[0-9]+", "#", r[1][depth]))
+    nodes = {}
+    for r in rows:
+        shape = re.sub("[0-9]+", "#", r[1][depth])
+        nodes.setdefault(names.get(r[1][depth]) or (f"{{{shape}}}" if shape in shapes else "*"), []).append(r)
+    for token, mine in nodes.items():
+        out |= grown(mine, f"{tpl}/{token}", depth + 1, share, least)
+    return out
+
+
+def test_template_tree_by_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(900):
+        segs = [rng.choice(["bad", "good", "mixed", "worse"]), rng.choice(["a", "b", f"p{i}", f"q{i}x{i}", "rare" + "z" * rng.randint(0, 60)])]
+        segs += [rng.choice(["x", "y", str(i)]) for _ in range(rng.randint(0, 3))]
+        bad = int(segs[0] in ("bad", "worse") and rng.random() < 0.7)
+        rows.append((i, segs, bad, int(not bad and rng.random() < 0.4)))
+    deep = ["d"] * 18
+    rows += [(1000 + i, [*deep, "left" if i % 2 else "right", str(i)], i % 2, 1 - i % 2) for i in range(40)]
+    table = spark.createDataFrame([(i, "h", "/" + "/".join(s), b, g) for i, s, b, g in rows], "rid long, host string, path string, bad long, good long")
+    got = {r["rid"]: r["tpl"] for r in urls.templates(table).collect()}
+    assert got == grown(rows)
+    assert {got[1000 + i].split("/")[19] for i in range(40)} == {"left", "right"}
