@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tonewise.functions.tables import CYRILLIC_MARKS, FUNCTION_WORDS, LATIN, LATIN_MARKS, SCRIPTS
+from tonewise.functions.normalize import bound
+from tonewise.functions.tables import CYRILLIC_LANGUAGES, CYRILLIC_MARKS, FUNCTION_WORDS, LATIN, LATIN_MARKS, SCRIPTS
 
 WORD = r"[\p{L}\p{Nl}\p{No}]+"
-CYRILLIC_LANGUAGES = ("ru", "uk", "be", "bg", "mk", "sr", "kk", "ky", "mn", "tt")
 
 
 def _letters(ranges: list[tuple[int, int]], but: bool = False) -> str:
@@ -41,20 +41,22 @@ def main_script(text: Column) -> Column:
 
 
 def _first_mark(text: Column, marks, otherwise: Column) -> Column:
-    out = otherwise
+    out = F.lit(None).cast("string")
     for code, letters in reversed(marks):
         out = F.when(text.rlike(f"[{letters}]"), F.lit(code)).otherwise(out)
-    return out
+    return F.when(text.rlike(f"[{''.join(letters for _, letters in marks)}]"), out).otherwise(otherwise)
 
 
 def function_word_vote(text: Column) -> Column:
     """The language of most distinct function words; ties to the first, 'en' without any, 'und' without words."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), 0))
+    every = F.array(*map(F.lit, sorted({w for listed in FUNCTION_WORDS.values() for w in listed.split()})))
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
     def vote(w: Column) -> Column:
-        return F.when(F.size(w) == 0, F.lit("und")).otherwise(F.greatest(*_hits(w))["code"])
+        told = bound(F.array_intersect(w, every), lambda x: F.greatest(*_hits(x))["code"])  # distinct, and a few at most
+        return F.when(F.size(w) == 0, F.lit("und")).otherwise(told)
 
-    return F.transform(F.array(words), vote)[0]  # the words are found once
+    return bound(words, vote)
 
 
 def _hits(words: Column) -> list[Column]:
@@ -66,18 +68,22 @@ def _hits(words: Column) -> list[Column]:
 
 def detect_language(text: Column, detector: Column | None = None) -> Column:
     """ISO 639-1 code, or 'und'."""
-    script = main_script(text)
     guess = F.lit(None).cast("string") if detector is None else F.substring(detector, 1, 2)
     cyrillic = _first_mark(F.lower(text), CYRILLIC_MARKS, F.when(guess.isin(*CYRILLIC_LANGUAGES), guess).otherwise(F.lit("ru")))
-    latin = _first_mark(text, LATIN_MARKS, F.coalesce(guess, function_word_vote(text)))
-    short = F.length(F.regexp_replace(text, r"^(?U)[\s\x1c-\x1f]+|(?U)[\s\x1c-\x1f]+$", "")) < 3
-    latin = F.when(short, F.lit("und")).otherwise(latin)
-    told = (
-        F.when((script == "zh") & text.rlike(r"[\p{L}&&[\x{3040}-\x{30FF}]]"), F.lit("ja"))
-        .when(script == "ru", cyrillic)
-        .when(script.isNotNull() & ~script.isin("latin", "other"), script)
-        .otherwise(latin)
-    )
-    # Without a letter of any script that tells a language, one look at the text settles that none does.
-    known = text.rlike(_letters([(lo, hi) for _, lo, hi in SCRIPTS]))
-    return F.when(text.isNull() | (text == ""), F.lit("und")).when(known, told).otherwise(latin)
+    vote = F.coalesce(guess, function_word_vote(text))
+    # No letter that tells a Latin-script language is ASCII.
+    latin = F.when(F.octet_length(text) == F.char_length(text), vote).otherwise(_first_mark(text, LATIN_MARKS, vote))
+    three = text.rlike(r"(?Us)[^\s\x1c-\x1f].+?[^\s\x1c-\x1f]")  # characters or more without the white space around them
+    latin = F.when(three, latin).otherwise(F.lit("und"))
+
+    def told(script: Column) -> Column:
+        return (
+            F.when((script == "zh") & text.rlike(r"[\p{L}&&[\x{3040}-\x{30FF}]]"), F.lit("ja"))
+            .when(script == "ru", cyrillic)
+            .when(script.isNotNull() & ~script.isin("latin", "other"), script)
+        )
+
+    # Without a letter of any script that tells a language, a look at the text settles that none does; ASCII has none.
+    first = min(lo for _, lo, _ in SCRIPTS)
+    known = (F.octet_length(text) > F.char_length(text)) & text.rlike(f"[^\\x00-\\x{{{first - 1:X}}}]") & text.rlike(_letters([(lo, hi) for _, lo, hi in SCRIPTS]))
+    return F.when(text.isNull() | (text == ""), F.lit("und")).otherwise(F.coalesce(F.when(known, bound(main_script(text), told)), latin))

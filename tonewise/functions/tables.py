@@ -9,6 +9,15 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@
 LOOKALIKE_FROM = "авекмнорстухіѕјαεορτυνκι"
 LOOKALIKE_TO = "abekmhopctyxisjaeoptuvki"
 
+# Patterns of links, of the characters of names and tags, of characters that nobody sees, of white space.
+LINKS = r"(?U)(?:https?://|www\.)\S+"
+WORD_CHARS = r"[\p{L}\p{N}_]"
+INVISIBLES = r"[\u00AD\u200B-\u200F\u202A-\u202E\u2060-\u206F\uFEFF]"
+SPACES = r"(?U)[\s\x1c-\x1f]+"
+
+# Languages in Cyrillic letters that a detector's guess may name.
+CYRILLIC_LANGUAGES = ("ru", "uk", "be", "bg", "mk", "sr", "kk", "ky", "mn", "tt")
+
 # Script blocks in order of precedence; the first that holds a letter counts it.
 SCRIPTS = (
     ("am", 0x1200, 0x137F), ("hy", 0x0530, 0x058F), ("he", 0x0590, 0x05FF), ("ar", 0x0600, 0x06FF), ("ar", 0x0750, 0x077F),
