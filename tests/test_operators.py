@@ -203,3 +203,86 @@ def test_score_documents_trains_at_full_size(spark, sf, monkeypatch):
         queries.score_documents(spark, sf)
     o = training.Options()
     assert asked == {"sizes": [o.word_features, o.char_features], "epochs": o.epochs}
+
+
+def stand_in(words):
+    """A backend that flags texts with one of some words."""
+    return models.BatchScorer(lambda: lambda texts: [0.9 if any(w in t for w in words) else 0.1 for t in texts])
+
+
+def test_smoke_and_holdout(spark):
+    from tonewise.plans import evaluation
+
+    assert len(evaluation.SMOKE_ROWS) == 34 and len({lang for *_, lang in evaluation.SMOKE_ROWS}) == 15
+    rows = corpora.literal(spark, evaluation.SMOKE_ROWS)
+    bad = ["moron", "idiot", "crétin", "cretino", "sukkel", "aptal", "тупой", "дурний", "غبي", "बेवकूफ", "बेवकूफ", "白痴", "馬鹿", "scum", "what an"]
+    judged, code = evaluation.run_smoke(serving.Classifier(stand_in(bad)), rows)
+    assert code == 0 and judged.count() == 34 and "detected" in judged.columns
+    assert {r["detected"] for r in judged.where("lang = 'uk'").collect()} == {"uk"}
+    assert evaluation.run_smoke(serving.Classifier(stand_in(["never"])), rows)[1] == 2
+    got = evaluation.run_holdout(serving.Classifier(stand_in(bad)), rows.unionByName(rows.limit(0)), 2).collect()
+    assert got[0]["lang"] is None and got[0]["n"] == 34 and got[0]["roc_auc"] > 0.8
+    assert [r["n"] for r in got[1:]] == sorted((r["n"] for r in got[1:]), reverse=True) and got[1]["lang"] == "en"
+    assert all(r["roc_auc"] is None for r in got[1:])
+    assert evaluation.run_holdout(serving.Classifier(stand_in(bad)), rows, 2, 4).first()["n"] == 4
+
+
+def test_single_texts_and_answers(spark):
+    c = serving.Classifier(stand_in(["bad"]))
+    assert c.score("a bad day") == 90.0 and c.is_toxic("a bad day") and not c.is_toxic(None)
+    bodies = ['{"texts": ["bad", null, " "]}', '{"texts": "bad"}', '{"texts": 5}', '{"text": "\\n"}', '{"text": null}', "no json", '{"texts": []}', '{"texts": null, "text": "ok"}']
+    got = {r["i"]: (r["status"], json.loads(r["body"])) for r in c.answers(spark.createDataFrame(list(enumerate(bodies)), "i int, body string"), "i").collect()}
+    assert [got[i][0] for i in range(8)] == [200, 400, 400, 400, 200, 400, 400, 200]
+    assert got[0][1]["backend"] == "transformer" and [(r["text"], r["is_toxic"]) for r in got[0][1]["results"]] == [("bad", True), ("None", False), (" ", False)]
+    assert got[1][1] == got[2][1] == {"error": requests.NO_LIST} and got[3][1] == got[6][1] == {"error": requests.NO_TEXT}
+    assert got[4][1]["results"][0]["text"] == "None"
+
+
+def test_softmax_scorer():
+    seen = []
+
+    def logits(batch):
+        seen.extend(map(len, batch))
+        return [[0.0, len(b) / 100] for b in batch]
+
+    got = models.softmax_scorer(logits, str.split, ["fine", "Toxic"])(["w " * 300, "w"])
+    assert seen == [256, 1] and got[0] == pytest.approx(1 / (1 + 2.718281828 ** -2.56)) and got[0] > got[1] > 0.5
+
+
+def test_label_conflicts_of_whole_texts(spark):
+    long = "the same first twelve characters and then "
+    rows = [(1, long + "one", 0), (2, long + "two", 1), (3, "Contradictory  www.x.org", 0), (4, "contradictory", 1), (5, "contradictory", 1)]
+    got = queries.conflicting(spark.createDataFrame(rows, "row_id long, text string, is_toxic int"))
+    assert sorted(r["row_id"] for r in got.collect()) == [3, 4, 5]
+
+
+def test_fold_gate_is_exact():
+    import re
+    import unicodedata
+
+    from tonewise.functions.normalize import STABLE
+
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and re.match(f"[{STABLE}]", chr(c))]
+    assert len(chars) > 128 and all(unicodedata.normalize("NFKC", c) == c for c in chars)
+    assert unicodedata.normalize("NFKC", "".join(chars)) == "".join(chars)
+
+
+def test_huber_gradients_by_plain_loops(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(3)
+    rows = [(Vectors.sparse(5, sorted(rng.choice(5, 2, False).tolist()), rng.normal(size=2).tolist()), int(i % 2), 1.0 + i % 3) for i in range(40)]
+    df = spark.createDataFrame(rows, ["features", "is_toxic", "weight"])
+    got = models.ModifiedHuber.fit(df, 5, epochs=4)
+    w, b, vw, vb, total = np.zeros(5), 0.0, np.zeros(5), 0.0, sum(r[2] for r in rows)
+    for _ in range(4):
+        g, gb = np.zeros(5), 0.0
+        for v, label, k in rows:
+            x, y = v.toArray(), 2 * label - 1
+            z = y * (w @ x + b)
+            d = k * (-4 * y if z < -1 else -2 * (1 - z) * y if z < 1 else 0.0)
+            g, gb = g + d * x, gb + d
+        vw, vb = 0.9 * vw - 2.0 * (g / total + 1e-6 * w), 0.9 * vb - 2.0 * gb / total
+        w, b = w + vw, b + vb
+    assert np.allclose(got.weights, w) and got.bias == pytest.approx(b)

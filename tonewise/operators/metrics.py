@@ -134,7 +134,12 @@ def class_report(rows: DataFrame) -> DataFrame:
 
 
 def evaluate(rows: DataFrame, cuts: DataFrame, min_support: int = MIN_SUPPORT // 3, lang: str = "lang") -> DataFrame:
-    """Scores of all rows (lang null) and of each language with enough of them, at the cuts of the data set's languages."""
+    """Scores of all rows (lang null), then of each language with enough of them, most rows first, at the cuts of the data set's languages."""
     judged = with_cut(rows, cuts, lang).withColumn("predicted", (F.round(F.col("prob") * 100, 9) >= F.col("cut")).cast("int"))
     each = confusion(judged, ("lang",)).where(F.col("n") >= min_support)
-    return scores(confusion(judged).withColumn("lang", F.lit(None).cast("string")).unionByName(each))
+    return by_size(scores(confusion(judged).withColumn("lang", F.lit(None).cast("string")).unionByName(each)))
+
+
+def by_size(report: DataFrame) -> DataFrame:
+    """A report's whole (lang null) first, then the languages by their rows; a row a language."""
+    return report.orderBy(F.col("lang").isNotNull(), F.desc("n"), "lang")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from tonewise.functions.format import LANGUAGE_NAMES
 from tonewise.functions.tables import CYRILLIC_MARKS, FUNCTION_WORDS, LATIN, LATIN_MARKS, LEET, LOOKALIKE_FROM, LOOKALIKE_TO, SCRIPTS
+from tonewise.plans.cases import TEXTS
+from tonewise.plans.queries import CACHE_NOW
+from tonewise.sources.timeline import CACHE_ENTRIES, CACHE_SECONDS
 
 
 def _quoted(text: str) -> str:
@@ -98,6 +101,15 @@ COMPACT = """CASE WHEN x >= 1e9 THEN (CASE WHEN x / 1e9 < 100 THEN regexp_replac
 AGO = "date_diff('microsecond', ts::TIMESTAMP, TIMESTAMP '2025-06-15 12:00:00')"
 
 
+CASES = "src AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {'NULL' if t is None else _quoted(t)})" for i, t in enumerate(TEXTS)) + ") t(case_id, text))"
+LATEST = """latest AS (SELECT user_id::VARCHAR AS "user", ts::TIMESTAMP AS ts, event_id, floor(value)::INT AS n_posts FROM events
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"""
+ANSWERS = """WITH c AS (SELECT conv_id * 100 + turn AS request, turn % 5 AS k, text FROM conversations)
+SELECT request, (CASE WHEN k IN (2, 3) OR (k < 2 AND NOT regexp_matches(coalesce(text, ''), '\\S')) THEN 400 ELSE 200 END)::INT AS status,
+  (CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 4 THEN 1 ELSE 0 END)::INT AS n, CASE WHEN k IN (0, 1, 4) THEN 25.0::DOUBLE END AS score,
+  CASE WHEN k < 2 THEN text WHEN k = 4 THEN 'None' END AS text, CASE k WHEN 2 THEN '"texts" must be a list of strings' WHEN 3 THEN 'no text provided' END AS error FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
     names = "CASE language " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANGUAGE_NAMES.items()) + " WHEN 'und' THEN 'Unknown' ELSE upper(language) END"
     docs = "src AS (SELECT doc_id, text, lang FROM documents)"
@@ -107,11 +119,15 @@ def oracle_sql() -> dict[str, str]:
         "detect_language_documents": f"WITH {docs}, {detected('src')} SELECT doc_id, language FROM det",
         "language_confusion": f"WITH {docs}, {detected('src')} SELECT lang, language, count(*)::BIGINT AS n FROM det GROUP BY 1, 2",
         "corpus_prepare": f"WITH {CORPUS} SELECT row_id, normalized, is_toxic, lang FROM corpus",
-        "label_conflicts": f"WITH {LABELLED}, k AS (SELECT *, substring(lower(text), 1, 12) AS key FROM lab) SELECT row_id, key, is_toxic FROM k QUALIFY min(is_toxic) OVER (PARTITION BY key) <> max(is_toxic) OVER (PARTITION BY key)",
+        "label_conflicts": f"WITH {LABELLED}, {normalized('lab')} SELECT row_id, normalized AS key, is_toxic FROM norm QUALIFY min(is_toxic) OVER (PARTITION BY normalized) <> max(is_toxic) OVER (PARTITION BY normalized)",
+        "normalize_cases": f"WITH {CASES}, {normalized('src')} SELECT case_id, normalized FROM norm",
+        "language_cases": f"WITH {CASES}, {detected('src')} SELECT case_id, language FROM det",
+        "analyze_answers": ANSWERS,
         "dedup_keep_first": "SELECT doc_id AS row_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1",
         "quota_per_lang_label": f"WITH {LABELLED} SELECT row_id, lang, is_toxic FROM lab QUALIFY row_number() OVER (PARTITION BY lang, is_toxic ORDER BY row_id) <= 20",
         "corpus_stats": f"WITH {LABELLED} SELECT count(*)::BIGINT AS rows, count(DISTINCT lang)::BIGINT AS languages, round(avg(is_toxic), 6) AS toxic_share FROM lab",
         "stratum_counts": f"WITH {LABELLED}, c AS (SELECT lang || '_' || is_toxic AS s, count(*) AS n FROM lab GROUP BY 1) SELECT CASE WHEN n >= 5 THEN s ELSE 'rare' END AS stratum, sum(n)::BIGINT AS n FROM c GROUP BY 1",
+        "stratified_split_counts": f"WITH {LABELLED}, c AS (SELECT lang || '_' || is_toxic AS s, count(*) AS n FROM lab GROUP BY 1), st AS (SELECT CASE WHEN n >= 3 THEN s ELSE 'rare' END AS stratum, sum(n)::BIGINT AS n FROM c GROUP BY 1), pl AS (SELECT stratum, (i::DOUBLE - 0.5::DOUBLE) / n::DOUBLE AS place FROM (SELECT stratum, n, unnest(range(1, n + 1)) AS i FROM st)) SELECT stratum, CASE WHEN place < 0.08::DOUBLE THEN 'test' WHEN place < 0.16::DOUBLE THEN 'val' ELSE 'train' END AS part, count(*)::BIGINT AS n FROM pl GROUP BY 1, 2",
         "language_list": "SELECT string_agg(lang, ',' ORDER BY lang) AS languages FROM (SELECT DISTINCT lang FROM documents WHERE lang <> 'und')",
         "canonical_languages": "SELECT CASE WHEN lang IS NULL THEN 'und' ELSE lower(left(lang, 2)) END AS lang, count(*)::BIGINT AS n FROM documents GROUP BY 1",
         "word_ngram_df": f"WITH {TERMS} SELECT term, df FROM vo",
@@ -129,6 +145,9 @@ def oracle_sql() -> dict[str, str]:
         "language_shares": f"WITH {POSTS}, c AS (SELECT author, language, count(*)::BIGINT AS n, min(pos) AS f FROM vp WHERE language <> 'und' GROUP BY 1, 2), s AS (SELECT *, n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY author) AS share FROM c QUALIFY row_number() OVER (PARTITION BY author ORDER BY n DESC, f) <= 6) SELECT author, language, n, round(share, 6) AS share, round(greatest(share, 3.0::DOUBLE), 6) AS width FROM s",
         "timeline_tabs": f"WITH {POSTS} SELECT author, count(*)::BIGINT AS total, count(*) FILTER (is_toxic)::BIGINT AS flagged, count(*) FILTER (NOT is_toxic)::BIGINT AS safe FROM vp GROUP BY author",
         "snapshot_cache_latest": "SELECT user_id::VARCHAR AS \"user\", event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+        "snapshot_cache_answers": f"WITH {LATEST} SELECT \"user\", event_id, date_diff('microsecond', ts, TIMESTAMP '{CACHE_NOW}') // 1000000 <= {CACHE_SECONDS} AS fresh FROM latest WHERE n_posts >= 20",
+        "snapshot_cache_kept": f"WITH {LATEST} SELECT \"user\", event_id FROM latest ORDER BY ts DESC, \"user\" LIMIT {CACHE_ENTRIES}",
+        "profile_json": f"WITH {POSTS}, sh AS (SELECT * FROM vp QUALIFY row_number() OVER (PARTITION BY author ORDER BY pos) <= 100), lc AS (SELECT author, language, count(*)::BIGINT AS n, min(pos) AS f FROM sh GROUP BY 1, 2), lm AS (SELECT author, list({{'language': language, 'n': n}} ORDER BY n DESC, f) AS languages FROM lc GROUP BY author), su AS (SELECT author, count(*)::BIGINT AS total, count(*) FILTER (is_toxic)::BIGINT AS toxic, list({{'pos': pos, 'full_text': text, 'toxicity': {{'score': score, 'is_toxic': is_toxic, 'language': language, 'threshold': threshold}}}} ORDER BY pos) AS posts, avg(score) AS a FROM sh GROUP BY author) SELECT author, to_json({{'author': author, 'summary': {{'total': total, 'toxic': toxic, 'safe': total - toxic, 'toxic_ratio': round(toxic * 100.0::DOUBLE / total, 1), 'average_score': round(a, 1), 'languages': languages}}, 'posts': posts}})::VARCHAR AS body FROM su JOIN lm USING (author)",
         "conversation_lines": "WITH l AS (SELECT conv_id, turn, list_slice(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), 1, 50) AS l FROM conversations) SELECT conv_id, turn, len(l)::INT AS n_lines, array_to_string(l, chr(10)) AS lines FROM l",
         "compact_counts": f"SELECT doc_id, {COMPACT} AS label FROM (SELECT doc_id, (n_chars * n_chars * 37)::DOUBLE AS x FROM documents)",
         "relative_times": f"WITH s AS (SELECT event_id, ts, ({AGO} // 1000000) AS s FROM events) SELECT event_id, CASE WHEN s < 60 THEN greatest(s, 1) || 's' WHEN s < 3600 THEN (s // 60) || 'm' WHEN s < 86400 THEN (s // 3600) || 'h' WHEN s < 604800 THEN (s // 86400) || 'd' WHEN year(ts) = 2025 THEN strftime(ts, '%b %-d') ELSE strftime(ts, '%b %-d, %Y') END AS label FROM s",

@@ -18,12 +18,14 @@ from tonewise.functions import format as fmt
 from tonewise.functions.language import detect_language
 from tonewise.functions.normalize import normalize_text
 from tonewise.operators import features, metrics, prepare, profile
-from tonewise.plans.models import Ensemble, Meta, soft_vote
+from tonewise.plans.cases import TEXTS
+from tonewise.plans.models import BatchScorer, Ensemble, Meta, soft_vote
 from tonewise.plans.serving import Classifier, verdicts
 from tonewise.sources import requests, timeline
 
 META = Meta(thresholds={"fr": 40.0, "de": 62.5}, global_threshold=45.0)
 NOW = "2025-06-15 12:00:00"
+CACHE_NOW = "2024-01-30 23:58:00"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,10 +84,45 @@ def corpus_prepare(spark, sf_dir):
 
 
 def label_conflicts(spark, sf_dir):
-    """The first 12 characters of the lower-cased text as keys, as in the SQL: rows of keys with both labels."""
-    rows = labelled(spark, sf_dir).withColumn("key", F.substring(F.lower("text"), 1, 12))
+    """Rows whose whole normalised text has both labels."""
+    rows = conflicting(labelled(spark, sf_dir))
+    return rows.select("row_id", "key", "is_toxic")
+
+
+def conflicting(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("key", normalize_text(F.col("text")))
     sure = prepare.drop_label_conflicts(rows, "key")
-    return rows.join(sure.select("row_id"), "row_id", "left_anti").select("row_id", "key", "is_toxic")
+    return rows.join(sure.select("row_id"), "row_id", "left_anti")
+
+
+def _cases(spark):
+    return spark.createDataFrame(list(enumerate(TEXTS)), "case_id long, text string")
+
+
+def normalize_cases(spark, sf_dir):
+    """Authored texts, as the tables hold no such characters."""
+    return _cases(spark).select("case_id", normalize_text(F.col("text")).alias("normalized"))
+
+
+def language_cases(spark, sf_dir):
+    return _cases(spark).select("case_id", detect_language(F.col("text")).alias("language"))
+
+
+def analyze_answers(spark, sf_dir):
+    """Request bodies made of conversation turns, of all kinds, answered with a stand-in scorer: status, results and error."""
+    turn, text = F.col("turn"), F.col("text")
+    body = (
+        F.when(turn % 5 == 0, F.to_json(F.struct("text")))
+        .when(turn % 5 == 1, F.to_json(F.struct(F.array(text, F.lit("  ")).alias("texts"))))
+        .when(turn % 5 == 2, F.to_json(F.struct(text.alias("texts"))))
+        .when(turn % 5 == 3, F.lit('{"text": " \\n\\t"}'))
+        .otherwise(F.lit('{"texts": null, "text": null}'))
+    )
+    rows = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + turn).alias("request"), body.alias("body"))
+    scorer = BatchScorer(lambda: lambda texts: [0.25] * len(texts))
+    got = F.from_json("body", "backend string, results array<struct<text:string,score:double>>, error string")
+    out = Classifier(scorer).answers(rows, "request").withColumn("r", got)
+    return out.select("request", "status", F.coalesce(F.size("r.results"), F.lit(0)).alias("n"), F.col("r.results")[0]["score"].alias("score"), F.col("r.results")[0]["text"].alias("text"), F.col("r.error").alias("error"))
 
 
 def dedup_keep_first(spark, sf_dir):
@@ -201,10 +238,25 @@ def profile_json(spark, sf_dir):
     return profile.profile_json(profile.profile(rows, ["full_text"]))
 
 
+def _snapshots(spark, sf_dir):
+    """Events as snapshots of their users' timelines; the value is the number of posts."""
+    return _table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("user"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", F.floor("value").cast("int").alias("n_posts")
+    )
+
+
 def snapshot_cache_latest(spark, sf_dir):
-    rows = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
-    latest = rows.groupBy("user").agg(F.max(F.struct("ts", "event_id")).alias("x"))
-    return latest.select("user", "x.event_id")
+    return timeline.latest_snapshots(_snapshots(spark, sf_dir), "user", "ts", ("event_id",)).select("user", "event_id")
+
+
+def snapshot_cache_answers(spark, sf_dir):
+    """What the cache may answer a request for 20 posts with, stale snapshots included."""
+    now = F.lit(CACHE_NOW).cast("timestamp_ntz")
+    return timeline.cached(_snapshots(spark, sf_dir), "user", "ts", "n_posts", 20, now, True, ("event_id",)).select("user", "event_id", "fresh")
+
+
+def snapshot_cache_kept(spark, sf_dir):
+    return timeline.evicted(_snapshots(spark, sf_dir), "user", "ts", ties=("event_id",)).select("user", "event_id")
 
 
 def conversation_lines(spark, sf_dir):
@@ -272,7 +324,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         language_toxicity, normalize_documents, detect_language_documents, language_confusion, corpus_prepare, label_conflicts, dedup_keep_first,
         quota_per_lang_label, corpus_stats, stratum_counts, stratified_split_counts, language_list, canonical_languages, word_ngram_df,
         char_ngram_df, tfidf_topk, threshold_sweep, tuned_thresholds, eval_report, roc_auc, class_report, soft_vote_probs, verdict_documents,
-        profile_summary, profile_languages, language_shares, timeline_tabs, profile_json, snapshot_cache_latest, conversation_lines,
+        profile_summary, profile_languages, language_shares, timeline_tabs, profile_json, snapshot_cache_latest, snapshot_cache_answers, snapshot_cache_kept, normalize_cases, language_cases, analyze_answers, conversation_lines,
         compact_counts, relative_times, handles, permalinks, language_names, timeline_extract, score_documents,
     )
     return {f.__name__: f for f in found}

@@ -63,11 +63,15 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("csv", nargs="+")
     p.add_argument("--out", required=True)
     p.add_argument("--preset", choices=("fast", "full"), default="full", help="fast: the first corpus only")
-    p.add_argument("--cap", type=int, default=None, help="rows per language and label; 0: all")
+    # The defaults of the options from here to --val-size.
+    p.add_argument("--cap", type=int, default=60_000, help="rows per language and label; 0: all")
     p.add_argument("--word-features", type=int, default=400_000)
     p.add_argument("--char-features", type=int, default=600_000)
     p.add_argument("--test-size", type=float, default=0.08)
     p.add_argument("--val-size", type=float, default=0.08)
+    p.add_argument("--zh", help="Chinese corpus: Parquet of input and output")
+    p.add_argument("--ko", help="Korean corpus: Parquet of 문장 and clean")
+    p.add_argument("--no-extras", action="store_true", help="leave the Chinese and Korean corpora out")
     p.add_argument("--skip-if-exists", action="store_true")
     p.add_argument("--dump-corpus", action="store_true")
     o = p.parse_args(args)
@@ -75,7 +79,13 @@ def main(args: list[str] | None = None) -> int:
     if o.skip_if_exists and Meta.load(f"{o.out}/meta").trained_at:
         return 0
     paths = o.csv[:1] if o.preset == "fast" else o.csv
-    sources = corpora.optional(*[lambda path=path: corpora.from_csv(spark, path) for path in paths])
+    readers = [lambda path=path: corpora.from_csv(spark, path) for path in paths]
+    if not o.no_extras and o.preset == "full":
+        if o.zh:
+            readers.append(lambda: corpora.from_text_labels(spark.read.parquet(o.zh), "input", "output", "zh"))
+        if o.ko:
+            readers.append(lambda: corpora.from_clean_flags(spark.read.parquet(o.ko), "문장", "clean", "ko"))
+    sources = corpora.optional(*readers)
     options = Options(o.preset, o.cap, o.word_features, o.char_features, o.test_size, o.val_size)
     model, meta, scored = train(sources, options, paths)
     model.save(f"{o.out}/model")

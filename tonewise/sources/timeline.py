@@ -106,20 +106,20 @@ def posts(parsed: DataFrame) -> DataFrame:
     return parsed.select("username", "user", F.posexplode("posts").alias("pos", "post")).select("username", "user", "pos", "post.*")
 
 
-def latest_snapshots(snapshots: DataFrame, user: str, at: str) -> DataFrame:
-    """The latest row of each user (case ignored), as a grouped maximum."""
+def latest_snapshots(snapshots: DataFrame, user: str, at: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The latest row of each user (case ignored), as a grouped maximum; ``ties`` decide among equally late ones."""
     row = F.struct(*snapshots.columns)
-    return snapshots.groupBy(F.lower(F.col(user)).alias("__u")).agg(F.max_by(row, F.col(at)).alias("r")).select("r.*")
+    return snapshots.groupBy(F.lower(F.col(user)).alias("__u")).agg(F.max_by(row, F.struct(at, *ties)).alias("r")).select("r.*")
 
 
-def cached(snapshots: DataFrame, user: str, at: str, n_posts: str, wanted: int, now: Column, allow_stale: bool = False) -> DataFrame:
+def cached(snapshots: DataFrame, user: str, at: str, n_posts: str, wanted: int, now: Column, allow_stale: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
     """Latest snapshots that may answer: fresh unless stale ones are allowed, and of enough posts."""
-    rows = latest_snapshots(snapshots, user, at)
+    rows = latest_snapshots(snapshots, user, at, ties)
     fresh = F.timestamp_diff("SECOND", F.col(at), now) <= CACHE_SECONDS
     rows = rows.withColumn("fresh", fresh).where(F.col(n_posts) >= wanted)
     return rows if allow_stale else rows.where("fresh")
 
 
-def evicted(snapshots: DataFrame, user: str, at: str, most: int = CACHE_ENTRIES) -> DataFrame:
+def evicted(snapshots: DataFrame, user: str, at: str, most: int = CACHE_ENTRIES, ties: tuple[str, ...] = ()) -> DataFrame:
     """The ``most`` latest users' snapshots: the rest of the cache goes, oldest first."""
-    return latest_snapshots(snapshots, user, at).orderBy(F.desc(at), user).limit(most)
+    return latest_snapshots(snapshots, user, at, ties).orderBy(F.desc(at), user).limit(most)
