@@ -148,7 +148,7 @@ def _forest(member: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 SCAN = "part int, h long, id long, sid long, n long, c long, blob binary"
-SHARED = "h long, id long, sid long, n long, c long"
+SHARED = "part int, h long, id long, sid long, n long, blob binary"
 
 
 def _batch(schema: str, rows: int, **columns) -> pa.RecordBatch:
@@ -165,7 +165,7 @@ def _scan(n: int, fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         sets: dict[int, np.ndarray] = {}
-        held = 0
+        held = seen = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             sids = np.array([*sets, 0], np.int64)
@@ -206,7 +206,8 @@ def _scan(n: int, fragments: int):
                     yield from flush()
                     sets, held = {}, 0
             sid = np.array(sid, np.int64)
-            yield _batch(SCAN, len(sid), part=sid % fragments, h=b.column("h"), id=b.column("id"), sid=sid, n=size)
+            seen += len(sid)
+            yield _batch(SCAN, len(sid), part=(seen + np.arange(len(sid))) % fragments, h=b.column("h"), id=b.column("id"), sid=sid, n=size)
         if sets:
             yield from flush()
 
@@ -223,26 +224,56 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return whole.view("<u8").ravel(), np.repeat(sids, count)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass documents and counts; of the blobs of a fragment count for each set the shingles that another set has as well."""
-    blobs: dict[int, list[bytes]] = {}
+def _shared(fragments: int):
+    """Pass documents; of the blobs of a fragment count for each set the shingles that another set has as well: (part, blob) of sets and counts, by set."""
+
+    def packs(sids: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = sids % fragments
+        order = np.argsort(part, kind="stable")
+        sids, count, part = sids[order], count[order].astype("<i8"), part[order]
+        cuts = np.searchsorted(part, np.arange(fragments + 1))
+        parts = np.flatnonzero(np.diff(cuts))
+        for i in range(0, len(parts), 64):
+            mine = parts[i : i + 64]
+            yield _batch(SHARED, len(mine), part=mine, blob=[sids[cuts[p] : cuts[p + 1]].tobytes() + count[cuts[p] : cuts[p + 1]].astype("<u4").tobytes() for p in mine])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[bytes]] = {}
+        names = [c.split()[0] for c in SHARED.split(", ")]
+        for b in batches:
+            packed, counted = b.column("blob").is_valid(), b.column("c").is_valid()
+            yield b.filter(pa.compute.invert(pa.compute.or_(packed, counted))).select(names)
+            told = b.filter(counted)
+            if told.num_rows:
+                yield from packs(told.column("sid").to_numpy(), told.column("c").to_numpy())
+            b = b.filter(packed)
+            for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                blobs.setdefault(part, []).append(blob)
+        for part in list(blobs):
+            h, sid = (np.concatenate(x) for x in zip(*map(_unpacked, blobs.pop(part)), strict=True))
+            order = np.lexsort((sid, h))
+            h, sid = h[order], sid[order]
+            new = np.concatenate(([True], h[1:] != h[:-1]))
+            own = new | np.concatenate(([True], sid[1:] != sid[:-1]))
+            new, sid = new[own], sid[own]
+            size = np.diff(np.append(np.flatnonzero(new), len(new)))
+            yield from packs(*np.unique(sid[np.repeat(size > 1, size)], return_counts=True))
+
+    return run
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts (blob) of the task's sets -> (sid, c): summed per set."""
+    sids, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for b in batches:
-        packed = b.column("blob").is_valid()
-        yield b.filter(pa.compute.invert(packed)).select([c.split()[0] for c in SHARED.split(", ")])
-        b = b.filter(packed)
-        for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
-            blobs.setdefault(part, []).append(blob)
-    for part in list(blobs):
-        h, sid = (np.concatenate(x) for x in zip(*map(_unpacked, blobs.pop(part)), strict=True))
-        order = np.lexsort((sid, h))
-        h, sid = h[order], sid[order]
-        new = np.concatenate(([True], h[1:] != h[:-1]))
-        own = new | np.concatenate(([True], sid[1:] != sid[:-1]))
-        new, sid = new[own], sid[own]
-        size = np.diff(np.append(np.flatnonzero(new), len(new)))
-        sids, count = np.unique(sid[np.repeat(size > 1, size)], return_counts=True)
-        for i in range(0, len(sids), 50_000):
-            yield _batch(SHARED, len(sids[i : i + 50_000]), sid=sids[i : i + 50_000], c=count[i : i + 50_000])
+        for blob in b.column("blob").to_pylist():
+            m = len(blob) // 12
+            sids.append(np.frombuffer(blob, "<i8", m))
+            counts.append(np.frombuffer(blob, "<u4", m, 8 * m).astype(np.int64))
+    sid, at = np.unique(np.concatenate(sids), return_inverse=True)
+    total = np.bincount(at, np.concatenate(counts), len(sid)).astype(np.int64)
+    for i in range(0, len(sid), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(sid[i : i + 50_000]), pa.array(total[i : i + 50_000])], names=["sid", "c"])
 
 
 def _sets(n: int):
@@ -496,9 +527,10 @@ def _classes(docs: DataFrame, n: int, pct: int, id_col: str, text_col: str) -> D
     base = docs.select(F.xxhash64(text).alias("h"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
     fragments = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = in_arrow(base, _scan(n, fragments), SCAN).repartitionById(fragments, F.pmod("part", F.lit(fragments)))
-    rows = saved(in_arrow(rows, _shared, SHARED), "jaccard-scan")
-    members = rows.where("c IS NULL").select("h", "id", "sid", "n")
-    counts = rows.where("c IS NOT NULL").groupBy("sid").agg(F.sum("c").alias("c"))
+    rows = saved(in_arrow(rows, _shared(fragments), SHARED), "jaccard-scan")
+    members = rows.where("blob IS NULL").select("h", "id", "sid", "n")
+    counts = rows.where("blob IS NOT NULL").select("part", "blob").repartitionById(fragments, "part")
+    counts = in_arrow(counts, _totals, "sid long, c long")
     sizes = members.where("n > 0").groupBy("sid").agg(F.min("h").alias("h"), F.max("n").alias("n"))
     left = saved(sizes.join(counts, "sid").where(100 * F.col("c") >= pct * F.col("n")).select("sid", "h", "n"), "jaccard-left")
     texts = base.select("h", "text").join(_small(left), "h").select("sid", "n", "text")
