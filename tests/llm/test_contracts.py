@@ -1,6 +1,8 @@
 """The registered queries against SQL, and what must hold of the others, on the smallest tables."""
 
 import math
+import random
+import re
 from collections import defaultdict
 from zlib import crc32
 
@@ -9,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from tonewise.llm import oracles, queries
+from tonewise.llm.common import saved
 
 
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
@@ -125,3 +128,104 @@ def test_pipeline(spark, sf):
         assert 0 < out.count() <= docs.count()
         docs = out
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def pipeline_documents(spark, sf):
+    """Documents in two languages with repeated and edited lines, near copies, benchmark passages and junk."""
+    rng = random.Random(21)
+    stock = {"en": [f"en{a}{b}" for a in "bcdfg" for b in "aeiou"], "de": [f"sch{a}{b}" for a in "klmnp" for b in "äöü"]}
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first()["text"].split()
+    common = " ".join(rng.choices(stock["en"], k=9))
+    rows = []
+    for i in range(90):
+        lang = "de" if i % 3 == 0 else "en"
+        lines = [" ".join(rng.choices(stock[lang], k=rng.randint(8, 20))) for _ in range(rng.randint(1, 4))]
+        if i % 5 == 0:
+            lines.insert(1, common if i % 2 else common[:-1] + "z")
+        if i % 7 == 3 and rows:
+            words = rows[-1][1].replace("\n", " \n ").split(" ")
+            words[rng.randrange(len(words))] = "edited"
+            lines = " ".join(words).replace(" \n ", "\n").split("\n") + ["x" if i % 2 else "yy"]
+        if i % 11 == 0:
+            lines.append(" ".join(item[:12]))
+        rows.append((i, "\n".join(lines), lang))
+    for i in range(200, 212, 2):  # long lines, each with a copy of one other word
+        w = rng.choices(stock["en"], k=80)
+        rows += [(i, " ".join(w), "en"), (i + 1, " ".join([*w[:30], "edited", *w[31:]]), "en")]
+    rows += [(100, "12 34 !!", "en"), (101, None, None), (102, "", "en"), (103, rows[4][1], "en"), (104, rows[4][1], "en")]
+    return spark.createDataFrame([(i, t, lang, f"s{i % 4}", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_pipeline_by_brute_force(spark, sf):
+    """Each stage against a plain version of it, on the stage's own input."""
+    from tonewise.llm import langid, packing
+
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(b) - len(a) > 1:
+            return False
+        k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+        return a[k + (len(a) == len(b)) :] == b[k + 1 :] or a == b
+
+    def languages(docs):
+        score = langid.Scorer(langid.fit(frame))
+        told = {i: score(t) for i, t in docs.items()}
+        return {i: t for i, t in docs.items() if told[i][0] != "und" and told[i][1] >= 0.5}
+
+    def distinct_lines(docs):
+        seen, out = [], {}
+        for i in sorted(docs):
+            left = []
+            for line in docs[i].split("\n"):
+                gone = line.strip(" ") and any(s == line or min(len(s), len(line)) >= 20 and near(s, line) for s in seen)
+                seen += [line] if line.strip(" ") else []
+                left += [] if gone else [line]
+            if any(x.strip(" ") for x in left):
+                out[i] = "\n".join(left)
+        return out
+
+    def one_of_each(docs):
+        sets = {}
+        for i, t in docs.items():
+            w = t.lower().split()
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+        left, out = sorted(docs), {}
+        while left:
+            front = [left.pop(0)]
+            out[front[0]] = docs[front[0]]
+            while front:
+                a = front.pop()
+                linked = [b for b in left if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+                left = [b for b in left if b not in linked]
+                front += linked
+        return out
+
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+    def clean(docs):
+        windows = set()
+        for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+            w = words(r["text"])
+            windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+        sizes = {len(x) for x in windows}
+        return {i: t for i, t in docs.items() if not any(tuple(w[k : k + n]) in windows for w in [words(t)] for n in sizes for k in range(len(w) - n + 1))}
+
+    frame = pipeline_documents(spark, sf)
+    for (name, stage), plain in zip(corpus_pipeline.STAGES, (languages, distinct_lines, one_of_each, clean), strict=False):
+        out = saved(stage(spark, frame, sf), "test")
+        docs = {r["doc_id"]: r["text"] for r in frame.collect()}
+        want = plain(docs)
+        got = {r["doc_id"]: r["text"] for r in out.collect()}
+        assert got == want and 0 < len(got) < len(docs), name
+        frame = out
+    docs = {r["doc_id"]: r["text"] for r in frame.collect()}
+    pieces, t, places = defaultdict(list), packing.tokenizer(), defaultdict(list)
+    for r in corpus_pipeline.STAGES[-1][1](spark, frame, sf).collect():
+        pieces[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for i, text in docs.items():
+        ids = np.array([*t.whole.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert sorted(pieces[i]) == [(0, 0, len(ids), crc32(ids.tobytes()))]
+    assert set(pieces) == set(docs) and all(sum(n for _, n in s) <= 1024 and len({a for a, _ in s}) == len(s) for s in places.values())
