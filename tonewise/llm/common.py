@@ -113,6 +113,10 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+#: Links that one task of a component step may write.
+TASK_LINKS = 500_000
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected graph of long ids, as a table made by ``saved``.
 
@@ -152,13 +156,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             .unionByName(small.where(v > F.col("m")).select(v.alias("u"), F.col("m").alias("v")))
             .distinct()
         )
-        step = saved(small, "links")
+        step = saved(small.coalesce(1 + 2 * seen[0] // TASK_LINKS), "links")  # a step has 2 links at most for each before
         now = mark(step)
         discard(links)
         links = step
         if now == seen:
             break
         seen = now
-    named = saved(links.select(u.alias("node"), v.alias("root")).unionByName(links.select(v.alias("node"), v.alias("root")).distinct()), "components")
+    named = links.select(u.alias("node"), v.alias("root")).unionByName(links.select(v.alias("node"), v.alias("root")).distinct())
+    named = saved(named.coalesce(1 + 2 * seen[0] // TASK_LINKS), "components")
     discard(links)
     return named
