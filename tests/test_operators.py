@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,31 @@ def test_terms_agree(spark):
             assert sorted(got[0]) == sorted(features.terms_of(t, block))
 
 
+def test_term_counts_by_plain_loops(spark):
+    texts = ["a b a b aa", "", None, "x", "aa  aa \U0001F600bb aa", "aa  aa \U0001F600bb aa"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string")
+    want = {(i, term, n) for i, t in enumerate(texts) for term, n in Counter(features.terms_of(t or "", "char")).items()}
+    counts = features.term_counts(df, features.char_terms(F.col("t")))
+    assert {tuple(r) for r in rows_of(counts)} == want and counts.count() == len(want)
+    found = {r["term"]: r["df"] for r in features.document_frequency(df, features.char_terms(F.col("t"))).collect()}
+    assert found == Counter(term for _, term, _ in want)
+
+
+def test_first_of_keys_with_one_label(spark):
+    rows = [(0, 3, "a", 1), (0, 2, "a", 1), (1, 1, "a", 1), (0, 4, "b", 0), (0, 5, "b", 1), (0, 6, "c", None), (0, 7, "d", None), (0, 8, "d", 0)]
+    df = spark.createDataFrame(rows, "source_rank int, row_id long, normalized string, is_toxic int")
+    got = rows_of(prepare.keep_first(df, label="is_toxic"))
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, rows_of(prepare.keep_first(prepare.drop_label_conflicts(df)))), key=str)
+    assert {r[1] for r in got} == {2, 7}
+
+
+def test_shares_leave_out_the_unknown(spark):
+    rows = [("a", i, lang) for i, lang in enumerate(["und"] * 5 + [None] + ["en"] * 3 + ["de"])] + [("b", 0, "und")]
+    posts = spark.createDataFrame(rows, "author string, pos long, language string")
+    got = profile.language_shares(posts).select("author", "language", "n", "share").collect()
+    assert sorted(map(tuple, got)) == [("a", "de", 1, 25.0), ("a", "en", 3, 75.0)]
+
+
 def test_metrics_edges(spark):
     schema = "is_toxic int, lang string, prob double"
     one_class = spark.createDataFrame([(0, "en", 0.2), (0, "en", 0.9)], schema)

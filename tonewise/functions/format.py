@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tonewise.functions.normalize import bound
+
 # English names of the languages that detection can give.
 LANGUAGE_NAMES = {
     "am": "Amharic", "ar": "Arabic", "be": "Belarusian", "bg": "Bulgarian", "bn": "Bangla", "bo": "Tibetan", "cs": "Czech", "de": "German",
@@ -69,7 +71,7 @@ def absolute_time(ts: Column) -> Column:
 
 def language_name(code: Column) -> Column:
     names = F.create_map(*[F.lit(x) for item in LANGUAGE_NAMES.items() for x in item])
-    return F.when(code.isNull() | code.isin("", "und"), "Unknown").otherwise(F.coalesce(F.try_element_at(names, code), F.upper(code)))
+    return bound(code, lambda c: F.when(c.isNull() | c.isin("", "und"), "Unknown").otherwise(F.coalesce(F.try_element_at(names, c), F.upper(c))))
 
 
 def normalize_handle(value: Column) -> Column:

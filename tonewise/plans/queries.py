@@ -156,26 +156,27 @@ def canonical_languages(spark, sf_dir):
     return rows.groupBy("lang").agg(F.count("*").alias("n"))
 
 
-def _vocabulary(spark, sf_dir, terms, least):
-    docs = labelled(spark, sf_dir).select(F.col("row_id").alias("doc_id"), normalize_text(F.col("text")).alias("t"))
-    counts = features.term_counts(docs, terms(F.col("t")))
-    return docs, counts, features.vocabulary(counts, docs.count(), None, least)
+def _normalized(spark, sf_dir):
+    return labelled(spark, sf_dir).select(F.col("row_id").alias("doc_id"), normalize_text(F.col("text")).alias("t"))
 
 
 def word_ngram_df(spark, sf_dir):
-    return _vocabulary(spark, sf_dir, features.word_terms, 2)[2]
+    docs = _normalized(spark, sf_dir)
+    return features.within(features.document_frequency(docs, features.word_terms(F.col("t"))), docs.count(), 2)
 
 
 def char_ngram_df(spark, sf_dir):
-    return _vocabulary(spark, sf_dir, features.char_terms, 3)[2]
+    docs = _normalized(spark, sf_dir)
+    return features.within(features.document_frequency(docs, features.char_terms(F.col("t"))), docs.count(), 3)
 
 
 def tfidf_topk(spark, sf_dir):
     """The ten heaviest word terms of each document."""
     from pyspark.sql import Window
 
-    docs, counts, vocab = _vocabulary(spark, sf_dir, features.word_terms, 2)
-    rows = features.tfidf(counts, vocab, docs.count()).withColumn("weight", F.round("weight", 6))
+    docs = _normalized(spark, sf_dir)
+    counts, n = features.term_counts(docs, features.word_terms(F.col("t"))), docs.count()
+    rows = features.tfidf(counts, features.vocabulary(counts, n, None, 2), n).withColumn("weight", F.round("weight", 6))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term"))
     return rows.withColumn("nth", nth).where("nth <= 10").select("doc_id", "term", "weight", "nth")
 
