@@ -86,5 +86,36 @@ FROM documents d LEFT JOIN t USING (doc_id)
 """
 
 
+#: The table of the crc32 polynomial (a fixed value), and the crc32 of a list of bytes ``{0}``.
+CRC_TABLE = """
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab)"""
+CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], {0}), lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1])), 4294967295)"
+DIGITS = "list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda d: ascii(d)::BIGINT)"
+
+ASOF = f"""
+WITH {CRC_TABLE},
+c AS (SELECT click_id, client_id, epoch_us(ts) AS t FROM (SELECT DISTINCT click_id, client_id, ts FROM clicks)),
+k AS (
+  SELECT click_id, client_id, CASE WHEN h % 2 = 1 THEN t - t % 21600000000 ELSE t END AS t
+  FROM (SELECT *, {CRC.format(DIGITS.format("click_id"))} AS h FROM c, crc)),
+s AS (
+  SELECT sale_id, client_id, CASE WHEN h % 2 = 1 THEN t - t % 21600000000 ELSE t END AS t, cents, h % 3 <> 0 AS twice
+  FROM (SELECT sale_id, client_id, epoch_us(sold_at) AS t, CAST(floor(100 * total + 0.5) AS BIGINT) AS cents,
+    {CRC.format(DIGITS.format("sale_id"))} AS h FROM sales, crc)),
+o AS (SELECT sale_id, client_id, t, cents FROM s UNION ALL SELECT -1 - sale_id, client_id, t, cents FROM s WHERE twice),
+w AS (
+  SELECT *, count(*) OVER (PARTITION BY client_id, t) AS n_tied,
+    row_number() OVER (PARTITION BY client_id, t ORDER BY cents DESC NULLS LAST, sale_id DESC NULLS LAST) AS r
+  FROM o WHERE client_id IS NOT NULL AND t IS NOT NULL)
+SELECT k.click_id, k.client_id, k.t AS ts_us,
+  CASE WHEN k.t - w.t <= 2592000000000 THEN w.sale_id END AS sale_id,
+  CASE WHEN k.t - w.t <= 2592000000000 THEN k.t - w.t END AS lag_us,
+  CASE WHEN k.t - w.t <= 2592000000000 THEN w.cents END AS total_cents,
+  CASE WHEN k.t - w.t <= 2592000000000 THEN w.n_tied ELSE 0 END AS n_tied
+FROM k ASOF LEFT JOIN (SELECT * FROM w WHERE r = 1) w ON k.client_id = w.client_id AND k.t >= w.t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": DECONTAMINATE, "op10_ngram_jaccard": JACCARD, "op5_embedding_near_dedup": EMBEDDINGS, "op1_line_dedup": LINES}
+    return {"op8_decontaminate": DECONTAMINATE, "op10_ngram_jaccard": JACCARD, "op5_embedding_near_dedup": EMBEDDINGS, "op1_line_dedup": LINES, "op12_tolerant_asof": ASOF}
