@@ -117,5 +117,35 @@ FROM k ASOF LEFT JOIN (SELECT * FROM w WHERE r = 1) w ON k.client_id = w.client_
 """
 
 
+UTF8 = "flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))"
+
+SPELLING = f"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run
+    FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, {CRC.format(UTF8.format("CAST(doc_id AS VARCHAR) || ':' || run"))} AS h FROM r, crc),
+v AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+p AS (
+  SELECT a.word AS a, b.word AS b, b.n FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.rest = v.word
+  UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.rest = v.word),
+s AS (SELECT a AS word, count(*) AS n_near, min(row(-n, b)) AS best FROM p GROUP BY a),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best[1] >= 5 * v.n THEN best[2] END AS form,
+    CASE WHEN -best[1] >= 5 * v.n THEN (-best[1])::BIGINT END AS form_n
+  FROM v LEFT JOIN s USING (word)),
+t(word, root) AS (
+  SELECT word, word FROM f WHERE form IS NULL
+  UNION ALL SELECT f.word, t.root FROM t JOIN f ON f.form = t.word)
+SELECT f.word, f.form, t.root, f.n, f.n_near, f.form_n FROM f JOIN t USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": DECONTAMINATE, "op10_ngram_jaccard": JACCARD, "op5_embedding_near_dedup": EMBEDDINGS, "op1_line_dedup": LINES, "op12_tolerant_asof": ASOF}
+    return {"op8_decontaminate": DECONTAMINATE, "op10_ngram_jaccard": JACCARD, "op5_embedding_near_dedup": EMBEDDINGS, "op1_line_dedup": LINES, "op12_tolerant_asof": ASOF, "op13_spelling_variants": SPELLING}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonewise.llm import asof, decontaminate, embeddings, jaccard, langid, lines, packing, sharding, substrings, toxicity, urls
+from tonewise.llm import asof, decontaminate, embeddings, jaccard, langid, lines, packing, quality, sharding, spelling, substrings, toxicity, urls
 from tonewise.llm.common import table
 
 
@@ -50,14 +50,22 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.report(table(spark, sf_dir, "pages"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_tolerant_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.report(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_line_dedup, op2_url_filters, op3_toxicity, op4_sharding, op5_embedding_near_dedup,
         op6_packing, op7_substring_dedup, op8_decontaminate, op9_language_id, op10_ngram_jaccard,
-        op12_tolerant_asof,
+        op11_quality, op12_tolerant_asof, op13_spelling_variants,
     )
     return {f.__name__: f for f in found}
