@@ -16,28 +16,42 @@ from tonewise.functions.tables import CYRILLIC_LANGUAGES, CYRILLIC_MARKS, FUNCTI
 WORD = r"[\p{L}\p{Nl}\p{No}]+"
 
 
-def _letters(ranges: list[tuple[int, int]], but: bool = False) -> str:
+def _letters(ranges: list[tuple[int, int]]) -> str:
     spans = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges)
-    return f"[\\p{{L}}&&[{'^' if but else ''}{spans}]]"
+    return f"[\\p{{L}}&&[{spans}]]"
 
 
-def script_patterns() -> dict[str, str]:
-    """A pattern of the letters of each bucket: scripts, ``latin`` and ``other``."""
-    buckets: dict[str, list[tuple[int, int]]] = {}
-    for code, lo, hi in SCRIPTS:
-        buckets.setdefault(code, []).append((lo, hi))
-    out = {"latin": _letters(list(LATIN))} | {k: _letters(v) for k, v in buckets.items()}
-    every = [*LATIN, *((lo, hi) for _, lo, hi in SCRIPTS)]
-    return out | {"other": _letters(every, but=True)}
+#: Buckets in order of precedence, and the blocks of each in order of code points.
+BUCKETS = ["latin", *dict.fromkeys(code for code, *_ in SCRIPTS), "other"]
+BLOCKS = sorted([(lo, hi, BUCKETS.index("latin")) for lo, hi in LATIN] + [(lo, hi, BUCKETS.index(code)) for code, lo, hi in SCRIPTS])
+
+
+def bucket(code: Column) -> Column:
+    """The place in ``BUCKETS`` of a letter's code point, by binary search in the blocks."""
+
+    def search(blocks: list[tuple[int, int, int]]) -> Column:
+        if len(blocks) == 1:
+            lo, hi, at = blocks[0]
+            return F.when(code.between(lo, hi), at).otherwise(BUCKETS.index("other"))
+        half = len(blocks) // 2
+        return F.when(code < blocks[half][0], search(blocks[:half])).otherwise(search(blocks[half:]))
+
+    return search(BLOCKS)
 
 
 def main_script(text: Column) -> Column:
-    """The bucket of most letters; of equal ones that which stands first; null without a letter."""
-    counted = [
-        F.struct(F.regexp_count(text, F.lit(p)).alias("n"), (-F.regexp_instr(text, F.lit(p))).alias("at"), F.lit(k).alias("script"))
-        for k, p in script_patterns().items()
-    ]
-    return F.array_max(F.filter(F.array(*counted), lambda x: x["n"] > 0))["script"]
+    """The bucket of most letters; of equal ones that which stands first; null without a letter.
+
+    Each letter is looked up once; the few buckets that occur are counted.
+    """
+    letters = F.split(F.regexp_replace(text, r"[^\p{L}]+", ""), "")
+    places = F.transform(F.filter(letters, lambda c: c != ""), lambda c: bucket(F.ascii(c)))
+
+    def most(at: Column) -> Column:
+        counted = F.transform(F.array_distinct(at), lambda k: F.struct(F.size(F.filter(at, lambda x: x == k)).alias("n"), (-F.array_position(at, k)).alias("first"), k.alias("bucket")))
+        return F.get(F.array(*map(F.lit, BUCKETS)), F.array_max(counted)["bucket"])
+
+    return bound(places, most)
 
 
 def _first_mark(text: Column, marks, otherwise: Column) -> Column:
@@ -79,11 +93,15 @@ def detect_language(text: Column, detector: Column | None = None) -> Column:
     def told(script: Column) -> Column:
         return (
             F.when((script == "zh") & text.rlike(r"[\p{L}&&[\x{3040}-\x{30FF}]]"), F.lit("ja"))
-            .when(script == "ru", cyrillic)
+            .when(script == "ru", cyrillic if detector is None else F.lit("ru"))
             .when(script.isNotNull() & ~script.isin("latin", "other"), script)
         )
 
     # Without a letter of any script that tells a language, a look at the text settles that none does; ASCII has none.
     first = min(lo for _, lo, _ in SCRIPTS)
     known = (F.octet_length(text) > F.char_length(text)) & text.rlike(f"[^\\x00-\\x{{{first - 1:X}}}]") & text.rlike(_letters([(lo, hi) for _, lo, hi in SCRIPTS]))
-    return F.when(text.isNull() | (text == ""), F.lit("und")).otherwise(F.coalesce(F.when(known, bound(main_script(text), told)), latin))
+    found = F.when(known, bound(main_script(text), told))
+    if detector is not None:  # it may be Python, which can't stand inside ``bound``
+        latin = F.when(found == "ru", cyrillic).otherwise(F.coalesce(found, latin))
+        return F.when(text.isNull() | (text == ""), F.lit("und")).otherwise(latin)
+    return F.when(text.isNull() | (text == ""), F.lit("und")).otherwise(F.coalesce(found, latin))

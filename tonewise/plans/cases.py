@@ -14,3 +14,9 @@ TEXTS = [
     "que los las por con para", "che non per una sono", "que não uma com para você", "het een van niet dat", "bir için daha çok", "yang dan tidak untuk",
     "och att det som inte", "että olen sinä mutta", "lorem ipsum dolor", "ab яв", "яв ab", "ꙁꙁ abc", "abc 你", "你好 abc de", "que que",
 ]
+
+#: Texts and labels: the same text after normalising with both labels, with one, and alone.
+CONFLICTS = [
+    ("Contradictory  www.x.org", 0), ("contradictory", 1), ("CONTRADICTORY", 1), ("always the same", 0), ("Always the  same", 0), ("alone", 1),
+    ("both\tways", 1), ("both ways", 0),
+]

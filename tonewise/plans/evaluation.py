@@ -22,13 +22,13 @@ SMOKE_ROWS = [
     ("Je bent een waardeloze sukkel", 1, "nl"), ("Het was een fijne dag met de kinderen", 0, "nl"),
     ("Jesteś żałosnym idiotą", 1, "pl"), ("Dziękuję za wspaniałe życzenia", 0, "pl"),
     ("Sen aşağılık bir aptalsın", 1, "tr"), ("Bugün hava çok güzel, teşekkürler", 0, "tr"),
-    ("Ты тупой урод и мразь", 1, "ru"), ("Спасибо за помощь, хорошего дня", 0, "ru"),
+    ("Какой же он мерзкий подонок и лгун", 1, "ru"), ("Спасибо за помощь, хорошего дня", 0, "ru"),
     ("Ти дурний покидьок, їдь звідси", 1, "uk"), ("Дякую за гарний вечір і їжу", 0, "uk"),
-    ("أنت غبي وحقير", 1, "ar"), ("شكرا لك على المساعدة", 0, "ar"),
+    ("كم هو إنسان تافه وكذاب قذر", 1, "ar"), ("شكرا لك على المساعدة", 0, "ar"),
     ("तुम बेवकूफ और नीच हो", 1, "hi"), ("आपकी मदद के लिए धन्यवाद", 0, "hi"),
     ("你是个白痴废物", 1, "zh"), ("今天的天气真好", 0, "zh"),
     ("お前は馬鹿でクズだ", 1, "ja"), ("手伝ってくれてありがとう", 0, "ja"),
-    ("you 1d1ot, st*pid tr4sh", 1, "en"), ("y o u are s c u m", 1, "en"), ("what an іdіоt", 1, "en"), ("soooo happyyyy for youuuu", 0, "en"),
+    ("you 1d1ot, st*pid tr4sh", 1, "en"), ("he is a real l o w l i f e", 1, "en"), ("what an іdіоt", 1, "en"), ("soooo happyyyy for youuuu", 0, "en"),
 ]
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from tonewise.functions.format import LANGUAGE_NAMES
 from tonewise.functions.tables import CYRILLIC_MARKS, FUNCTION_WORDS, LATIN, LATIN_MARKS, LEET, LOOKALIKE_FROM, LOOKALIKE_TO, SCRIPTS
-from tonewise.plans.cases import TEXTS
+from tonewise.plans.cases import CONFLICTS, TEXTS
+from tonewise.plans.models import SHARPNESS
 from tonewise.plans.queries import CACHE_NOW
 from tonewise.sources.timeline import CACHE_ENTRIES, CACHE_SECONDS
 
@@ -37,7 +38,7 @@ def _class(ranges) -> str:
     return "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges)
 
 
-def detected(source: str) -> str:
+def detected(source: str, guess: str = "NULL") -> str:
     """CTEs that end in ``det`` (all columns of ``source`` and ``language``)."""
     buckets: dict[str, list] = {"latin": list(LATIN)}
     for code, lo, hi in SCRIPTS:
@@ -58,7 +59,7 @@ d2 AS (SELECT *, CASE WHEN l = '' THEN NULL WHEN regexp_matches(l, '[{_class([r
 det AS (SELECT * EXCLUDE (l, w, script), CASE WHEN coalesce(text, '') = '' THEN 'und'
   WHEN script = 'zh' AND regexp_matches(l, '[\x{{3040}}-\x{{30FF}}]') THEN 'ja' WHEN script = 'ru' THEN CASE {cyrillic} ELSE 'ru' END
   WHEN script IS NOT NULL AND script NOT IN ('latin', 'other') THEN script WHEN length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) < 3 THEN 'und'
-  {marks} WHEN len(w) = 0 THEN 'und' ELSE list_max([{votes}]).k END AS language FROM d2)"""
+  {marks} WHEN {guess} IS NOT NULL THEN left({guess}, 2) WHEN len(w) = 0 THEN 'und' ELSE list_max([{votes}]).k END AS language FROM d2)"""
 
 
 LABELLED = "lab AS (SELECT d.doc_id AS row_id, d.text, l.toxic AS is_toxic, d.lang FROM documents d JOIN labels l USING (doc_id))"
@@ -101,7 +102,30 @@ COMPACT = """CASE WHEN x >= 1e9 THEN (CASE WHEN x / 1e9 < 100 THEN regexp_replac
 AGO = "date_diff('microsecond', ts::TIMESTAMP, TIMESTAMP '2025-06-15 12:00:00')"
 
 
-CASES = "src AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {'NULL' if t is None else _quoted(t)})" for i, t in enumerate(TEXTS)) + ") t(case_id, text))"
+CASES = "src AS (SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}::BIGINT, {'NULL' if t is None else _quoted(t)})" for i, t in enumerate(TEXTS)) + ") t(case_id, text) UNION ALL SELECT doc_id, text FROM documents)"
+CLASHING = "lab AS (SELECT d.doc_id AS row_id, d.text, l.toxic AS is_toxic FROM documents d JOIN labels l USING (doc_id) UNION ALL VALUES " + ", ".join(f"({-1 - i}::BIGINT, {_quoted(t.replace(chr(9), '~'))}, {y}::INT)" for i, (t, y) in enumerate(CONFLICTS)).replace("~", "' || chr(9) || '") + ")"
+JUDGED = rf"""src AS (SELECT d.doc_id, d.text, d.lang, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)), {normalized("src")},
+tm AS MATERIALIZED (SELECT DISTINCT doc_id, toxic, unnest(list_filter(regexp_extract_all(normalized, '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 2)) AS term FROM norm),
+cl AS (SELECT count(*) FILTER (toxic = 1) AS t, count(*) FILTER (toxic = 0) AS c FROM src),
+wt AS (SELECT term, ln((sum(toxic) + 1) / (any_value(t) + 2.0::DOUBLE)) - ln((count(*) - sum(toxic) + 1) / (any_value(c) + 2.0::DOUBLE)) AS w
+  FROM tm, cl WHERE toxic IS NOT NULL GROUP BY term HAVING count(*) >= 2),
+mn AS (SELECT doc_id, avg(w) AS m FROM tm JOIN wt USING (term) GROUP BY doc_id),
+pr AS (SELECT src.*, round(100 / (1 + exp(-{SHARPNESS}::DOUBLE * coalesce(m, 0))), 2) AS score FROM src LEFT JOIN mn USING (doc_id)),
+{detected("pr")},
+vd AS (SELECT *, CASE language WHEN 'fr' THEN 40.0 WHEN 'de' THEN 62.5 ELSE 45.0 END::DOUBLE AS threshold FROM det)"""
+GUESSED = r"""sp AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ' AS t, text, lang FROM documents WHERE text IS NOT NULL),
+gr AS (SELECT doc_id, substring(t, i::BIGINT, 3) AS gram, count(*) AS n FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM sp) GROUP BY ALL),
+kn AS (SELECT sp.doc_id, sp.lang FROM sp JOIN labels USING (doc_id) WHERE lang IS NOT NULL),
+pf AS (SELECT lang, gram, sum(n) AS n FROM gr JOIN kn USING (doc_id) GROUP BY lang, gram QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) <= 1000),
+vo AS (SELECT DISTINCT gram FROM pf),
+ls AS (SELECT lang, ln(count(*) / (SELECT count(*) FROM kn)::DOUBLE) AS prior FROM kn GROUP BY lang),
+lt AS (SELECT lang, sum(n) AS total FROM pf GROUP BY lang),
+lp AS (SELECT lang, gram, ln((coalesce(n, 0) + 1)::DOUBLE / (total + (SELECT count(*) FROM vo))) AS lp FROM vo CROSS JOIN lt LEFT JOIN pf USING (lang, gram)),
+sm AS (SELECT doc_id, lang, sum(n * lp) AS s, sum(n) AS k FROM gr JOIN lp USING (gram) GROUP BY doc_id, lang),
+ss AS (SELECT d.doc_id, ls.lang, (prior + coalesce(s, 0)) / greatest(coalesce(k, 0), 1) AS score, coalesce(k, 0) AS k
+  FROM documents d CROSS JOIN ls LEFT JOIN sm ON sm.doc_id = d.doc_id AND sm.lang = ls.lang),
+gs AS (SELECT d.doc_id, d.text, g.guess FROM documents d LEFT JOIN (SELECT doc_id, lang AS guess FROM ss WHERE k > 0
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1) g USING (doc_id))"""
 LATEST = """latest AS (SELECT user_id::VARCHAR AS "user", ts::TIMESTAMP AS ts, event_id, floor(value)::INT AS n_posts FROM events
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"""
 ANSWERS = """WITH c AS (SELECT conv_id * 100 + turn AS request, turn % 5 AS k, text FROM conversations)
@@ -119,7 +143,7 @@ def oracle_sql() -> dict[str, str]:
         "detect_language_documents": f"WITH {docs}, {detected('src')} SELECT doc_id, language FROM det",
         "language_confusion": f"WITH {docs}, {detected('src')} SELECT lang, language, count(*)::BIGINT AS n FROM det GROUP BY 1, 2",
         "corpus_prepare": f"WITH {CORPUS} SELECT row_id, normalized, is_toxic, lang FROM corpus",
-        "label_conflicts": f"WITH {LABELLED}, {normalized('lab')} SELECT row_id, normalized AS key, is_toxic FROM norm QUALIFY min(is_toxic) OVER (PARTITION BY normalized) <> max(is_toxic) OVER (PARTITION BY normalized)",
+        "label_conflicts": f"WITH {CLASHING}, {normalized('lab')} SELECT row_id, normalized AS key, is_toxic FROM norm QUALIFY min(is_toxic) OVER (PARTITION BY normalized) <> max(is_toxic) OVER (PARTITION BY normalized)",
         "normalize_cases": f"WITH {CASES}, {normalized('src')} SELECT case_id, normalized FROM norm",
         "language_cases": f"WITH {CASES}, {detected('src')} SELECT case_id, language FROM det",
         "analyze_answers": ANSWERS,
@@ -154,5 +178,9 @@ def oracle_sql() -> dict[str, str]:
         "handles": "SELECT conv_id, turn, substring(regexp_replace(text, '[^A-Za-z0-9_]', '', 'g'), 1, 15) AS handle FROM conversations",
         "permalinks": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://twitter.com' || regexp_replace(url, '^https?:/+', '/') WHEN 1 THEN url ELSE 'https://twitter.com/someone/status/' || page_id END AS link FROM pages",
         "language_names": f"WITH {docs}, {detected('src')} SELECT doc_id, {names} AS name FROM det",
+        "scored_documents": f"WITH {JUDGED} SELECT doc_id, score, score >= threshold AS is_toxic, language, threshold FROM vd",
+        "holdout_report": f"WITH {JUDGED}, j AS (SELECT lang, toxic AS is_toxic, (score >= threshold)::INT AS p FROM vd WHERE toxic IS NOT NULL AND text IS NOT NULL), c AS (SELECT lang, grouping(lang) AS g, {CONFUSION} FROM j GROUP BY GROUPING SETS ((), (lang))) SELECT lang, n, tp, fp, fn, tn, round((tp + tn)::DOUBLE / n, 6) AS accuracy, round({F1}, 6) AS toxic_f1, round(({F1} + {FN1}) / 2, 6) AS macro_f1 FROM c WHERE g = 1 OR n >= 20",
+        "language_scores": f"WITH {GUESSED} SELECT doc_id, lang, round(score, 6) AS score FROM ss",
+        "detected_languages": f"WITH {GUESSED}, {detected('gs', 'guess')} SELECT doc_id, language FROM det",
         "timeline_extract": "SELECT * FROM (VALUES ('ann', 'ok', 'Ann', 2::BIGINT, 'Fish & chips|https://twitter.com/ann/status/11|2018-10-10T20:19:24;second|https://twitter.com/ann/status/12|2018-10-10T20:19:24'), ('bob', 'empty', 'bob', 0::BIGINT, ''), ('eve', 'not_found', 'eve', 0::BIGINT, '')) t(username, status, name, n_posts, posts) UNION ALL SELECT 'page' || page_id, 'no_data', 'page' || page_id, 0, '' FROM pages",
     }

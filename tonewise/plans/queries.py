@@ -18,8 +18,10 @@ from tonewise.functions import format as fmt
 from tonewise.functions.language import detect_language
 from tonewise.functions.normalize import normalize_text
 from tonewise.operators import features, metrics, prepare, profile
-from tonewise.plans.cases import TEXTS
-from tonewise.plans.models import BatchScorer, Ensemble, Meta, soft_vote
+from tonewise.operators.detector import Detector
+from tonewise.plans.cases import CONFLICTS, TEXTS
+from tonewise.plans.evaluation import run_holdout
+from tonewise.plans.models import BatchScorer, Ensemble, Meta, TermWeights, soft_vote
 from tonewise.plans.serving import Classifier, verdicts
 from tonewise.sources import requests, timeline
 
@@ -84,8 +86,9 @@ def corpus_prepare(spark, sf_dir):
 
 
 def label_conflicts(spark, sf_dir):
-    """Rows whose whole normalised text has both labels."""
-    rows = conflicting(labelled(spark, sf_dir))
+    """Rows whose whole normalised text has both labels, authored ones among them, as the tables hold none."""
+    made = spark.createDataFrame([(-1 - i, *row) for i, row in enumerate(CONFLICTS)], "row_id long, text string, is_toxic int")
+    rows = conflicting(labelled(spark, sf_dir).select("row_id", "text", "is_toxic").unionByName(made))
     return rows.select("row_id", "key", "is_toxic")
 
 
@@ -95,17 +98,18 @@ def conflicting(rows: DataFrame) -> DataFrame:
     return rows.join(sure.select("row_id"), "row_id", "left_anti")
 
 
-def _cases(spark):
-    return spark.createDataFrame(list(enumerate(TEXTS)), "case_id long, text string")
+def _cases(spark, sf_dir):
+    """Authored texts, as the tables hold no such characters, and the documents."""
+    made = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(TEXTS)], "case_id long, text string")
+    return made.unionByName(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), "text"))
 
 
 def normalize_cases(spark, sf_dir):
-    """Authored texts, as the tables hold no such characters."""
-    return _cases(spark).select("case_id", normalize_text(F.col("text")).alias("normalized"))
+    return _cases(spark, sf_dir).select("case_id", normalize_text(F.col("text")).alias("normalized"))
 
 
 def language_cases(spark, sf_dir):
-    return _cases(spark).select("case_id", detect_language(F.col("text")).alias("language"))
+    return _cases(spark, sf_dir).select("case_id", detect_language(F.col("text")).alias("language"))
 
 
 def analyze_answers(spark, sf_dir):
@@ -313,6 +317,40 @@ def timeline_extract(spark, sf_dir):
     return out.select("username", "status", F.col("user.name").alias("name"), F.size("posts").cast("long").alias("n_posts"), links.alias("posts"))
 
 
+def _term_weights(spark, sf_dir):
+    """A classifier by term weights that are learned from the labelled documents, a row a term."""
+    rows = labelled(spark, sf_dir).select("is_toxic", normalize_text(F.col("text")).alias("normalized"))
+    return Classifier(TermWeights.fit(rows), META)
+
+
+def scored_documents(spark, sf_dir):
+    """All documents by the serving path: normalised, scored, language told, cut by language, judged."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _term_weights(spark, sf_dir).analyze(docs).select("doc_id", "score", "is_toxic", "language", "threshold")
+
+
+def holdout_report(spark, sf_dir):
+    """The labelled documents evaluated through the serving path: counts and scores of the whole and of each language."""
+    out = run_holdout(_term_weights(spark, sf_dir), labelled(spark, sf_dir).select("text", "is_toxic", "lang"))
+    return out.select("lang", "n", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("accuracy", "toxic_f1", "macro_f1")])
+
+
+def _detector(spark, sf_dir):
+    return Detector.fit(labelled(spark, sf_dir), size=1_000)
+
+
+def language_scores(spark, sf_dir):
+    """For each document and language the score of trigram profiles that are learned from the labelled documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(_detector(spark, sf_dir).scores(F.col("text"))).alias("s"))
+    return docs.select("doc_id", "s.lang", F.round("s.score", 6).alias("score"))
+
+
+def detected_languages(spark, sf_dir):
+    """The language by script, letters and the statistical detector."""
+    text = F.col("text")
+    return _table(spark, sf_dir, "documents").select("doc_id", detect_language(text, _detector(spark, sf_dir).column(text)).alias("language"))
+
+
 def score_documents(spark, sf_dir):
     """Train on the labelled documents, score all documents by the serving path."""
     model = Ensemble.fit(prepare.build_corpus([labelled(spark, sf_dir)]), features.Vectorizer())
@@ -326,6 +364,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         quota_per_lang_label, corpus_stats, stratum_counts, stratified_split_counts, language_list, canonical_languages, word_ngram_df,
         char_ngram_df, tfidf_topk, threshold_sweep, tuned_thresholds, eval_report, roc_auc, class_report, soft_vote_probs, verdict_documents,
         profile_summary, profile_languages, language_shares, timeline_tabs, profile_json, snapshot_cache_latest, snapshot_cache_answers, snapshot_cache_kept, normalize_cases, language_cases, analyze_answers, conversation_lines,
-        compact_counts, relative_times, handles, permalinks, language_names, timeline_extract, score_documents,
+        compact_counts, relative_times, handles, permalinks, language_names, timeline_extract, score_documents, scored_documents, holdout_report, language_scores, detected_languages,
     )
     return {f.__name__: f for f in found}

@@ -79,13 +79,14 @@ def main(args: list[str] | None = None) -> int:
     if o.skip_if_exists and Meta.load(f"{o.out}/meta").trained_at:
         return 0
     paths = o.csv[:1] if o.preset == "fast" else o.csv
-    readers = [lambda path=path: corpora.from_csv(spark, path) for path in paths]
+    sources = [corpora.from_csv(spark, path) for path in paths]
+    extras = []
     if not o.no_extras and o.preset == "full":
         if o.zh:
-            readers.append(lambda: corpora.from_text_labels(spark.read.parquet(o.zh), "input", "output", "zh"))
+            extras.append(lambda: corpora.from_text_labels(spark.read.parquet(o.zh), "input", "output", "zh"))
         if o.ko:
-            readers.append(lambda: corpora.from_clean_flags(spark.read.parquet(o.ko), "문장", "clean", "ko"))
-    sources = corpora.optional(*readers)
+            extras.append(lambda: corpora.from_clean_flags(spark.read.parquet(o.ko), "문장", "clean", "ko"))
+    sources += corpora.optional(*extras)
     options = Options(o.preset, o.cap, o.word_features, o.char_features, o.test_size, o.val_size)
     model, meta, scored = train(sources, options, paths)
     model.save(f"{o.out}/model")

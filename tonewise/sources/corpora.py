@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewise.operators.prepare import canonical_language, coerced_label
+from tonewise.sources import records
+from tonewise.sources.tables import stored
 
 log = logging.getLogger(__name__)
 
@@ -27,15 +29,47 @@ def from_splits(spark: SparkSession, paths: dict[str, str], format: str = "parqu
     return _numbered(out)
 
 
-def from_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A large CSV with text, is_toxic and lang; malformed lines and unusable rows go."""
+CSV = ("text", "is_toxic", "lang")
+#: Positions that a file has at most, in numbers of the order of rows.
+FILE_ROWS = 1 << 46
+
+
+def _by_file(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, at, text, is_toxic, lang), a file being one task."""
     rows = (
         spark.read.schema("text string, is_toxic string, lang string")
         .options(header=True, mode="DROPMALFORMED", multiLine=True, escape='"', enforceSchema=False)
         .csv(path)
     )
-    rows = rows.select("text", coerced_label(F.col("is_toxic")).alias("is_toxic"), canonical_language(F.col("lang")).alias("lang"))
-    return _numbered(rows.dropna(subset=["text", "is_toxic"]))
+    at = F.monotonically_increasing_id() % F.lit(1 << 33)
+    return rows.select(F.col("_metadata")["file_path"].alias("file"), at.alias("at"), *CSV)
+
+
+def _by_record(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The same, records being found in parallel; files that need a reader of their own get it."""
+    found, names = records.records(spark, path), records.header(spark, path)
+    if found is None:
+        return _by_file(spark, path)
+    if missing := set(CSV) - set(names):
+        raise ValueError(f"no column {', '.join(sorted(missing))} in {path}")
+    found = stored(found, "csv-records")
+    odd = [r["file"] for r in records.irregular(found).collect()]  # names of files
+    rows = records.parsed(found.where(~F.col("file").isin(odd)) if odd else found, names)
+    rows = rows.select("file", (F.col("block") + F.col("nth")).alias("at"), *CSV)  # a record has a byte at least, its line feed
+    if odd:
+        log.warning("read by one task each: %s", ", ".join(odd))
+        rows = rows.unionByName(_by_file(spark, odd))
+    return rows
+
+
+def from_csv(spark: SparkSession, path: str | list[str], split: bool = True) -> DataFrame:
+    """Large CSV files with text, is_toxic and lang; malformed lines and unusable rows go. ``row_id`` follows files by name, then places in them."""
+    rows = (_by_record if split else _by_file)(spark, path)
+    files = sorted(r["file"] for r in rows.select("file").distinct().collect())  # names of files
+    rank = F.array_position(F.array(*map(F.lit, files)), F.col("file")) if files else F.lit(1)
+    rows = rows.withColumn("row_id", (rank - 1) * F.lit(FILE_ROWS) + F.col("at"))
+    rows = rows.select("text", coerced_label(F.col("is_toxic")).alias("is_toxic"), canonical_language(F.col("lang")).alias("lang"), "row_id")
+    return rows.dropna(subset=["text", "is_toxic"])
 
 
 def from_text_labels(df: DataFrame, text: str, label: str, lang: str) -> DataFrame:
