@@ -489,3 +489,44 @@ def test_template_tree_by_brute_force(spark):
     got = {r["rid"]: r["tpl"] for r in urls.templates(table).collect()}
     assert got == grown(rows)
     assert {got[1000 + i].split("/")[19] for i in range(40)} == {"left", "right"}
+
+
+def test_decontamination_of_long_texts_and_large_suites(spark):
+    """Ten lengths of windows at once, stretches against plain loops, and every way of sending the set."""
+    rng = random.Random(11)
+    some = [f"v{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choices(some, k=k))) for i, k in enumerate([1, 2, 3, 5, 9, 10, 11, 14, 40])]
+    texts = [" ".join(rng.choices([*some, *(f"z{i}" for i in range(400))], k=k)) for k in (0, 1, 63, 64, 65, 73, 74, 128, 700)]
+    texts += [f"{t} {items[7][1]} {t}" for t in texts[:5]] + [items[8][1], None]
+    grams = {}
+    for i, t in items:
+        w = t.split()
+        for at in range(max(1, len(w) - 9)):
+            grams.setdefault(tuple(w[at : at + 10]), set()).add(str(i))
+    want = []
+    for n, t in enumerate(texts):
+        w = (t or "").split()
+        hit, found = set(), set()
+        for k in {len(g) for g in grams}:
+            for at in range(len(w) - k + 1):
+                if who := grams.get(tuple(w[at : at + k])):
+                    hit |= set(range(at, at + k))
+                    found |= who
+        want.append((n, len(w), len(hit), sorted(found)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (200_000, 2, 1, 0):
+        got = decontaminate.judge(docs, bench, max_broadcast=most).select("doc_id", "n_words", "n_hit", "items").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_decontamination_takes_time_in_proportion(spark):
+    """Ten lengths of windows over one text of 400,000 words: seconds, where each word carrying its text would take hours."""
+    import time
+
+    items = [(k, " ".join(f"q{k}x{i}" for i in range(k))) for k in range(1, 11)]
+    docs = spark.createDataFrame([(1, " ".join(f"w{i % 5003}" for i in range(399_990)) + " " + items[9][1])], "doc_id long, text string")
+    began = time.time()
+    got = decontaminate.report(docs, spark.createDataFrame(items, "item_id long, text string")).first()
+    assert (got["n_words"], got["n_hit"], got["n_items"]) == (400_000, 10, 1)
+    assert time.time() - began < 120

@@ -5,12 +5,14 @@ non-ASCII characters, with A-Z lower-cased. An item gives every window of
 ``n`` consecutive words; an item of fewer words (but not none) is one window.
 
 The hashes of all benchmark windows are broadcast as a hash set (with each
-window's words and items). Each document is read once: its windows are hashed
-inside the row, and the 8-byte hashes are looked up in the set, so only windows
-that hit go on. A hit is then verified word for word. The size of the set is
-checked: a suite of more than ``max_broadcast`` windows goes in parts by hash,
-each broadcast in its turn; documents are read once for each part, and nothing of
-them is shuffled but hits.
+window's words and items). Each document is read once: in stretches of ``STRETCH``
+words its windows are hashed, and the 8-byte hashes are looked up in the set, so
+only windows that hit go on and the work is in proportion to a text's length. A
+hit is then verified word for word. The size of the set is checked: of a suite of
+more than ``max_broadcast`` windows only the hashes are broadcast, and hits get
+their words and items by a shuffled join; more than ``HASHES_A_WINDOW`` times as
+many go in parts by hash, with a pass over the documents for each. Nothing of the
+documents is shuffled but hits.
 
 Defined cases: null or empty text, or text without words, has no words and no
 hit. A null item text gives no window; rows with a null item_id are ignored.
@@ -32,6 +34,10 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 RAW_GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 #: Windows (and items of theirs) that may be sent to every task at once.
 MAX_BROADCAST_WINDOWS = 200_000
+#: So many bare hashes stand for a window with its words and items.
+HASHES_A_WINDOW = 20
+#: Words of a text that go together.
+STRETCH = 64
 #: Contaminated documents (id, hash, spans) whose rows may be sent to every task.
 MAX_BROADCAST_ROWS = 100_000
 
@@ -59,7 +65,9 @@ def benchmark_windows(benchmark: DataFrame, n: int, id_col: str, text_col: str)
 def _hits(docs: DataFrame, windows: DataFrame, max_broadcast: int) -> DataFrame:
     """A row for each verified hit of a document, and one at least for each document.
 
-    ``docs`` has ``row_no``, ``w`` and further columns, which are kept.
+    ``docs`` has ``row_no``, ``w`` and further columns, which are kept. A text goes as
+    stretches of ``STRETCH`` words (and what a window that begins in one may reach
+    beyond), so what stands beside each hash is short however long the text is.
     """
     keep = [c for c in docs.columns if c != "w"]
     lengths = sorted(r[0] for r in windows.select("w_len").distinct().collect())  # n values at most
@@ -67,31 +75,48 @@ def _hits(docs: DataFrame, windows: DataFrame, max_broadcast: int) -> DataFrame:
         return docs.select(*keep, F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("w_len"),
                            F.lit(None).cast("array<string>").alias("w_items"))
     weight = windows.agg(F.sum(1 + F.size("w_items"))).first()[0]
-    parts = -(-weight // (2 * max_broadcast)) if max_broadcast else windows.count()
-    size = F.size("w")
+    whole = max_broadcast > 0 and weight <= 2 * max_broadcast
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(STRETCH))
+    stretch = F.transform(starts, lambda i: F.struct(i.alias("off"), F.slice("w", i + 1, STRETCH + lengths[-1] - 1).alias("v")))
+    rows = docs.select(*keep, F.explode(stretch).alias("s")).select(*keep, "s.off", "s.v")
     # One array of hashes: of the windows of the least length by their starts, then of the next. ``nth`` tells length and start.
     none = F.array().cast("array<bigint>")
 
+    def begin(length: int) -> Column:
+        """Windows of a length that begin in the stretch."""
+        return F.greatest(F.least(F.lit(STRETCH), F.size("v") - length + 1), F.lit(0))
+
     def hashed(length: int):
-        return lambda i: F.xxhash64(F.slice("w", i, length))
+        return lambda i: F.xxhash64(F.slice("v", i, length))
 
-    hashes = [F.when(size >= k, F.transform(F.sequence(F.lit(1), size - k + 1), hashed(k))).otherwise(none) for k in lengths]
-    rows = docs.select(*keep, "w", F.posexplode_outer(F.concat(*hashes)).alias("nth", "hash"))
+    hashes = [F.when(begin(k) > 0, F.transform(F.sequence(F.lit(1), begin(k)), hashed(k))).otherwise(none) for k in lengths]
+    rows = rows.select(*keep, "off", "v", F.posexplode_outer(F.concat(*hashes)).alias("nth", "hash"))
     before, length, at = F.lit(0), F.lit(lengths[0]), F.col("nth") + 1
     for k, longer in zip(lengths[:-1], lengths[1:], strict=True):
-        before = before + F.greatest(size - k + 1, F.lit(0))
+        before = before + begin(k)
         length = F.when(F.col("nth") >= before, longer).otherwise(length)
         at = F.when(F.col("nth") >= before, F.col("nth") - before + 1).otherwise(at)
+    first = (F.col("off") == 0) & (F.coalesce("nth", F.lit(0)) == 0)  # so that each document has a row
+    if whole:
+        found = rows.join(F.broadcast(windows), F.col("hash") == F.col("w_key"), "left").where(F.col("w_key").isNotNull() | first)
+    else:
+        found = _of_many(rows.withColumn("first", first), windows, max_broadcast)
+    same = F.array_join(F.slice("v", at, length), " ") == F.col("w_words")  # null where the hash is in no window
+    found = found.withColumn("same", F.coalesce(same, F.lit(False)))
+    told = ((F.col("off") + at).cast("int"), "at"), (F.col("w_len"), "w_len"), (F.col("w_items"), "w_items")
+    return found.select(*keep, *[F.when(F.col("same"), c).alias(name) for c, name in told])
+
+
+def _of_many(rows: DataFrame, windows: DataFrame, max_broadcast: int) -> DataFrame:
+    """``rows`` with their windows where the suite is large: bare hashes are broadcast, ``HASHES_A_WINDOW`` times as many, and what they let through is joined by shuffle."""
+    keys = windows.select("w_key").distinct()
+    parts = -(-keys.count() // max(1, HASHES_A_WINDOW * max_broadcast))
     out = []
     for part in range(parts):
-        held = F.broadcast(windows.where(F.pmod("w_key", F.lit(parts)) == part))
-        found = rows.join(held, F.col("hash") == F.col("w_key"), "inner" if part else "left")
-        if not part:
-            found = found.where("w_key IS NOT NULL OR coalesce(nth, 0) = 0")
-        same = F.array_join(F.slice("w", at, length), " ") == F.col("w_words")  # null where the hash is in no window
-        found = found.withColumn("same", F.coalesce(same, F.lit(False)))
-        out.append(found.select(*keep, *[F.when(F.col("same"), c).alias(name) for c, name in ((at, "at"), (F.col("w_len"), "w_len"), (F.col("w_items"), "w_items"))]))
-    return functools.reduce(DataFrame.unionByName, out)
+        held = F.broadcast(keys.where(F.pmod("w_key", F.lit(parts)) == part).withColumn("known", F.lit(True)))
+        found = rows.join(held, F.col("hash") == F.col("w_key"), "left").drop("w_key")
+        out.append(found.where(F.col("known") | F.col("first") if not part else F.col("known")).drop("known"))
+    return functools.reduce(DataFrame.unionByName, out).join(windows, F.col("hash") == F.col("w_key"), "left").drop("first")
 
 
 def judge(
