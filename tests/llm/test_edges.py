@@ -530,3 +530,31 @@ def test_decontamination_takes_time_in_proportion(spark):
     got = decontaminate.report(docs, spark.createDataFrame(items, "item_id long, text string")).first()
     assert (got["n_words"], got["n_hit"], got["n_items"]) == (400_000, 10, 1)
     assert time.time() - began < 120
+
+
+def test_deep_templates_by_brute_force(spark):
+    """Chains of many depths, leaves along a trap, branches at its end, digits on and off the path, equal and empty paths."""
+    rng = random.Random(7)
+    hosts = {
+        "trap": [["a", "b"] * (i // 2) + ["page.html"] for i in range(60)],
+        "chain": [["x"] * i for i in range(40)] + [[]] * 3,
+        "fork": [["t", "t", "t", rng.choice(["left", "right"]), str(i)] for i in range(40)],
+        "digits": [["n1", "n2", f"n{i}", "n4"] if i % 4 else ["n1", "n2", "n3", "n4", "n5", f"m{i}"] for i in range(50)],
+        "few": [["q"] * i for i in range(3)],
+    }
+    rows = {h: [(1_000 * k + i, s, int(rng.random() < 0.2), 0) for i, s in enumerate(mine)] for k, (h, mine) in enumerate(hosts.items())}
+    data = [(i, h, "/" + "//".join(s) + "/", b, g) for h, mine in rows.items() for i, s, b, g in mine]
+    table = spark.createDataFrame(data, "rid long, host string, path string, bad long, good long")
+    got = {r["rid"]: r["tpl"] for r in urls.templates(table, 0.1, 4).collect()}
+    assert got == {k: v for mine in rows.values() for k, v in grown(mine, share=0.1, least=4).items()}
+
+
+def test_a_path_of_a_thousand_segments(spark):
+    import time
+
+    path = "/" + "/".join(f"s{i}" for i in range(1_000))
+    pages = spark.createDataFrame([(i, f"http://h.org{path}", 1, "x") for i in range(6)], "page_id long, url string, path int, host string")
+    began = time.time()
+    got = urls.verdicts(pages).collect()
+    assert {r["template"] for r in got} == {path} and len(got) == 6
+    assert time.time() - began < 60

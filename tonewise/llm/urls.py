@@ -14,12 +14,17 @@ labelled urls, (blocked + strength * prior) / (labelled + strength), and a
 purity of ``reject`` or more blocks it. A template without labels has the
 prior, so it passes.
 
-Every level is a grouped count and a join; what a level keeps of a node (at
-most 1 / ``share`` segments and shapes) is small, and a host with a third of all
-urls is pre-aggregated and its join side can be split. Of a node with fewer urls
-than ``least`` no segment can be frequent: each of its remaining segments is ``*``
-at once, so there are as many levels as the paths that ``least`` urls share, and
-none is cut off.
+Levels are not taken one by one. Where the longest path of a node is the only
+frequent branch for some levels, all of them are taken at once, as in a radix
+tree: urls that end on it are done, urls that leave it get the token of the place
+where they do. Then the node branches by an ordinary level: grouped counts and
+joins; what it keeps of a node (at most 1 / ``share`` segments and shapes) is
+small, and a host with a third of all urls is pre-aggregated and its join side
+can be split. Of a node with fewer urls than ``least`` no segment can be frequent:
+each of its remaining segments is ``*`` at once. So a round passes all levels up to
+the next at which two segments are frequent, however deep; none is cut off. Two
+traps side by side, with two frequent segments at each level, still take a round a
+level.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path
 and is judged as a host of its own. Empty segments are skipped. Repeated rows
@@ -28,12 +33,13 @@ count as often as they stand. Other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonewise.llm.common import discard, saved
+from tonewise.llm.common import discard, saved, shared_dir
 
 #: (verdict, host, path) of the registered query.
 RULES = (
@@ -93,31 +99,85 @@ def _merged(literals: DataFrame) -> DataFrame:
     return rows.select("host", "tpl", "seg", F.array_join(names, "|").alias("token"))
 
 
+NODE = ["host", "tpl"]
+
+
+def _trunks(live: DataFrame, share: float, least: int, made: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(urls, ends): the urls of nodes of ``least`` or more, told by where they leave their node's longest path, and for each node the level up to which that path is its only branch.
+
+    ``l`` is how many segments a url has in common with the longest path, ``seg``
+    its next one (null: it ends), ``trunk`` the shape that the path has there.
+    """
+    longest = live.groupBy(*NODE).agg(F.count("*").alias("many"), F.max_by("segs", F.size("segs")).alias("path")).where(F.col("many") >= least)
+    rows = live.join(longest.select(*NODE, "path"), NODE)
+    other = F.array_position(F.zip_with("segs", "path", lambda x, y: x.eqNullSafe(y)), False)
+    met = F.when(other == 0, F.size("segs")).otherwise(other - 1).cast("int")
+    rows = rows.select("rid", *NODE, "bad", "good", "segs", "path", met.alias("l"))
+    shape = lambda x: F.regexp_replace(x, "[0-9]+", "#")
+    rows = rows.select("rid", *NODE, "bad", "good", "segs", "l", F.get("segs", F.col("l")).alias("seg"), shape(F.get("path", F.col("l"))).alias("trunk"))
+    rows = saved(rows.withColumn("shape", shape(F.col("seg"))), "urls-met")
+    groups = rows.groupBy(*NODE, "l", "seg").agg(F.count("*").alias("n"))
+    off = F.col("seg").isNotNull()
+    levels = groups.groupBy(*NODE, "l").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(off, F.col("n"))), F.lit(0)).alias("off"), F.coalesce(F.max(F.when(off, F.col("n"))), F.lit(0)).alias("most"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(*NODE).orderBy("l").rowsBetween(1, Window.unboundedFollowing)), F.lit(0))  # a row a level
+    levels = saved(levels.withColumn("on", below).withColumn("total", F.col("on") + F.col("off")), "urls-levels")
+    enough = lambda n: (F.col(n) >= least) & (F.col(n) >= share * F.col("total"))
+    ends = levels.where(~enough("on") | enough("most")).groupBy(*NODE).agg(F.min("l").alias("stop"))
+    # Off the path a shape may be frequent, the path's own segment counted where it has the same.
+    shapes = rows.where(off).groupBy(*NODE, "l", "shape").agg(F.count("*").alias("n"), F.any_value("trunk").alias("trunk"))
+    shapes = shapes.join(levels.select(*NODE, "l", "on", "total"), [*NODE, "l"])
+    shapes = shapes.withColumn("n", F.col("n") + F.when(F.col("shape") == F.col("trunk"), F.col("on")).otherwise(0))
+    known = saved(shapes.where(enough("n")).select(*NODE, "l", "shape", F.lit(True).alias("known")), "urls-shapes")
+    made += [rows, levels, known]
+    rows = rows.join(ends, NODE).join(known, [*NODE, "l", "shape"], "left")
+    return rows.withColumn("known", F.coalesce("known", F.lit(False))), ends
+
+
+def _along(k: Column) -> Column:
+    """The template of a url after ``k`` segments of its own as they stand."""
+    return F.array_join(F.concat(F.array("tpl"), F.slice("segs", 1, k)), "/")
+
+
 def templates(urls: DataFrame, share: float = 0.02, least: int = 5) -> DataFrame:
     """``urls`` (rid, host, path, bad, good) with their template ``tpl``, as a table made by ``saved``."""
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
     live = saved(urls.select("rid", "host", "bad", "good", segs.alias("segs"), F.lit("").alias("tpl")), "urls-live")
-    made, done = [live], []
-    depth = 0
+    columns, done = ["rid", "host", "tpl", "bad", "good"], f"{shared_dir(urls.sparkSession)}/tonewise/urls-templates-{uuid.uuid4().hex}"
+    live.where(F.size("segs") == 0).select(*columns).write.parquet(done)
     while live.limit(1).count():
-        done.append(live.where(F.size("segs") <= depth).select("rid", "host", "tpl", "bad", "good"))
-        rows = live.where(F.size("segs") > depth)
-        nodes = rows.groupBy("host", "tpl").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        nodes = saved(nodes.select("host", "tpl", F.lit(True).alias("many")), "urls-nodes")
-        rows = rows.join(nodes, ["host", "tpl"], "left")
-        few = F.concat("tpl", F.repeat(F.lit("/*"), F.size("segs") - depth)).alias("tpl")
-        done.append(rows.where("many IS NULL").select("rid", "host", few, "bad", "good"))
-        rows = rows.where("many").drop("many").withColumn("seg", F.get("segs", F.lit(depth)))
-        rows = rows.withColumn("shape", F.regexp_replace("seg", "[0-9]+", "#"))
-        literal = saved(_merged(_frequent(rows, "seg", share, least)), "urls-segments")
-        shape = saved(_frequent(rows, "shape", share, least).select("host", "tpl", "shape", F.col("shape").alias("known")), "urls-shapes")
-        rows = rows.join(literal, ["host", "tpl", "seg"], "left").join(shape, ["host", "tpl", "shape"], "left")
-        token = F.coalesce("token", F.when(F.col("known").isNotNull(), F.concat(F.lit("{"), "known", F.lit("}"))), F.lit("*"))
-        live = saved(rows.select("rid", "host", "bad", "good", "segs", F.concat("tpl", F.lit("/"), token).alias("tpl")), "urls-live")
-        made += [nodes, literal, shape, live]
-        depth += 1
-    out = saved(reduce(DataFrame.unionByName, done) if done else live.select("rid", "host", "tpl", "bad", "good"), "urls-templates")
-    discard(*made)
+        made = [live]
+        live = live.where(F.size("segs") > 0)
+        nodes = live.groupBy(*NODE).agg(F.count("*").alias("many")).where(F.col("many") < least).select(*NODE)
+        few = live.join(nodes, NODE, "left_semi").withColumn("tpl", F.concat("tpl", F.repeat(F.lit("/*"), F.size("segs"))))
+        rows, _ = _trunks(live, share, least, made)
+        rows = saved(rows, "urls-rows")
+        made.append(rows)
+        l, stop, size = F.col("l"), F.col("stop"), F.size("segs")
+        ended = rows.where((l == size) & (l <= stop)).withColumn("tpl", _along(l))
+        token = F.when(F.col("known"), F.concat(F.lit("{"), "shape", F.lit("}"))).otherwise(F.lit("*"))
+        left = rows.where((l < size) & (l < stop)).withColumn("tpl", F.concat(_along(l), F.lit("/"), token))
+        left = left.withColumn("segs", F.slice("segs", l + 2, F.greatest(size - l - 1, F.lit(0))))
+        # At the end of its path a node branches: one ordinary level.
+        rest = rows.where((size > stop) & (l >= stop)).withColumn("tpl", _along(stop)).withColumn("segs", F.slice("segs", stop + 1, size - stop))
+        rest = rest.withColumn("seg", F.get("segs", F.lit(0))).withColumn("shape", F.regexp_replace("seg", "[0-9]+", "#"))
+        literal = saved(_merged(_frequent(rest, "seg", share, least)), "urls-segments")
+        shape = saved(_frequent(rest, "shape", share, least).select(*NODE, "shape", F.lit(True).alias("common")), "urls-common")
+        made += [literal, shape]
+        size = F.size("segs")
+        small = rest.groupBy(*NODE).agg(F.count("*").alias("many")).where(F.col("many") < least).select(*NODE, F.lit(True).alias("small"))
+        rest = rest.join(small, NODE, "left").join(literal, [*NODE, "seg"], "left").join(shape, [*NODE, "shape"], "left")
+        branch = F.coalesce("token", F.when(F.col("common"), F.concat(F.lit("{"), "shape", F.lit("}"))), F.lit("*"))
+        every = F.repeat(F.lit("/*"), size)
+        rest = rest.withColumn("tpl", F.when(F.col("small"), F.concat("tpl", every)).otherwise(F.concat(F.col("tpl"), F.lit("/"), branch)))
+        rest = rest.withColumn("segs", F.when(F.col("small"), F.array().cast("array<string>")).otherwise(F.slice("segs", 2, F.greatest(size - 1, F.lit(0)))))
+        further = saved(left.select(*columns, "segs").unionByName(rest.select(*columns, "segs")), "urls-live")
+        over = [few, ended, further.where(F.size("segs") == 0)]
+        reduce(DataFrame.unionByName, [x.select(*columns) for x in over]).write.mode("append").parquet(done)
+        live = saved(further.where(F.size("segs") > 0), "urls-live")
+        discard(further, *made)
+    out = urls.sparkSession.read.schema(live.select(*columns).schema).parquet(done)
+    discard(live)
+    out._saved_at = done
     return out
 
 
