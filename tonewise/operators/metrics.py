@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonewise.sources.tables import stored
+
 GRID = (5, 95)  # percent, both included
 MIN_SUPPORT = 300
 GAIN = 0.002
@@ -31,10 +33,18 @@ def sweep(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     Rows are counted by percent first, then summed from the top: the grid is
     crossed with a histogram of at most 101 rows a group, never with the rows.
     """
+    return swept(histogram(rows, by), by)
+
+
+def histogram(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., p, pos, neg): rows by whole percents, at most 92 a group."""
+    p = F.greatest(F.least(steps(F.col("prob")), F.lit(GRID[1])), F.lit(GRID[0] - 1)).alias("p")
+    return rows.groupBy(*by, p).agg(F.sum("is_toxic").alias("pos"), F.sum(1 - F.col("is_toxic")).alias("neg"))
+
+
+def swept(hist: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The sweep of a histogram, which may have further groups."""
     keys = list(by)
-    hist = rows.groupBy(*keys, F.greatest(F.least(steps(F.col("prob")), F.lit(GRID[1])), F.lit(GRID[0] - 1)).alias("p")).agg(
-        F.sum("is_toxic").alias("pos"), F.sum(1 - F.col("is_toxic")).alias("neg")
-    )
     cuts = F.explode(F.sequence(F.lit(GRID[0]), F.lit(GRID[1]))).alias("cut")
     sums = hist.select(*keys, "p", "pos", "neg", cuts).groupBy(*keys, "cut").agg(
         F.sum(F.when(F.col("p") >= F.col("cut"), F.col("pos")).otherwise(0)).alias("tp"),
@@ -44,18 +54,22 @@ def sweep(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return sums.withColumn("f1", f1(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def best_cut(swept: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def best_cut(found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., cut, f1): the first of the best cuts."""
     top = F.max_by(F.struct("cut", "f1"), F.struct("f1", -F.col("cut"))).alias("best")
-    return swept.groupBy(*by).agg(top).select(*by, F.col("best.cut").cast("double").alias("cut"), F.col("best.f1").alias("f1"))
+    return found.groupBy(*by).agg(top).select(*by, F.col("best.cut").cast("double").alias("cut"), F.col("best.f1").alias("f1"))
 
 
 def tune_thresholds(rows: DataFrame, min_support: int = MIN_SUPPORT, gain: float = GAIN) -> DataFrame:
-    """(lang, cut, f1): the global cut (lang null) and those of languages that gain by one of their own."""
-    whole = best_cut(sweep(rows))
-    each = sweep(rows, ("lang",))
-    enough = rows.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("is_toxic").alias("k"))
-    enough = enough.where((F.col("n") >= min_support) & (F.col("k") == 2)).select("lang")
+    """(lang, cut, f1): the global cut (lang null) and those of languages that gain by one of their own.
+
+    The rows are read once, for a histogram by language; all else is made of it.
+    """
+    hist = stored(histogram(rows, ("lang",)), "histogram")
+    whole = best_cut(swept(hist))
+    each = swept(hist, ("lang",))
+    pos, neg = F.sum("pos"), F.sum("neg")
+    enough = hist.groupBy("lang").agg(((pos + neg >= min_support) & (pos > 0) & (neg > 0)).alias("enough")).where("enough").select("lang")
     base = each.join(F.broadcast(whole.select(F.col("cut").alias("global_cut"))), F.col("cut") == F.col("global_cut"))
     own = best_cut(each, ("lang",)).join(base.select("lang", F.col("f1").alias("base")), "lang").join(enough, "lang")
     own = own.where(F.col("f1") > F.col("base") + gain).select("lang", "cut", "f1")
@@ -136,8 +150,10 @@ def class_report(rows: DataFrame) -> DataFrame:
 def evaluate(rows: DataFrame, cuts: DataFrame, min_support: int = MIN_SUPPORT // 3, lang: str = "lang") -> DataFrame:
     """Scores of all rows (lang null), then of each language with enough of them, most rows first, at the cuts of the data set's languages."""
     judged = with_cut(rows, cuts, lang).withColumn("predicted", (F.round(F.col("prob") * 100, 9) >= F.col("cut")).cast("int"))
-    each = confusion(judged, ("lang",)).where(F.col("n") >= min_support)
-    return by_size(scores(confusion(judged).withColumn("lang", F.lit(None).cast("string")).unionByName(each)))
+    each = stored(confusion(judged, ("lang",)), "confusion")  # a row a language
+    counts = ("n", "tp", "fp", "fn", "tn")
+    whole = each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts]).select(F.lit(None).cast("string").alias("lang"), *counts)
+    return by_size(scores(whole.unionByName(each.where(F.col("n") >= min_support))))
 
 
 def by_size(report: DataFrame) -> DataFrame:
