@@ -182,5 +182,12 @@ def oracle_sql() -> dict[str, str]:
         "holdout_report": f"WITH {JUDGED}, j AS (SELECT lang, toxic AS is_toxic, (score >= threshold)::INT AS p FROM vd WHERE toxic IS NOT NULL AND text IS NOT NULL), c AS (SELECT lang, grouping(lang) AS g, {CONFUSION} FROM j GROUP BY GROUPING SETS ((), (lang))) SELECT lang, n, tp, fp, fn, tn, round((tp + tn)::DOUBLE / n, 6) AS accuracy, round({F1}, 6) AS toxic_f1, round(({F1} + {FN1}) / 2, 6) AS macro_f1 FROM c WHERE g = 1 OR n >= 20",
         "language_scores": f"WITH {GUESSED} SELECT doc_id, lang, round(score, 6) AS score FROM ss",
         "detected_languages": f"WITH {GUESSED}, {detected('gs', 'guess')} SELECT doc_id, language FROM det",
+        "coerced_labels": f"WITH {LABELLED} SELECT row_id, is_toxic FROM lab WHERE row_id % 6 IN (0, 1, 4)",
+        "adapted_sources": f"WITH {LABELLED}, s AS (SELECT 0 AS source_rank, lower(left(coalesce(lang, 'und'), 2)) AS lang, is_toxic, text FROM lab UNION ALL SELECT 1, 'zh', is_toxic, text FROM lab WHERE row_id % 5 <> 0 UNION ALL SELECT 2, 'ko', is_toxic, text FROM lab) SELECT source_rank, lang, is_toxic, count(*)::BIGINT AS n, sum(length(text))::BIGINT AS chars FROM s GROUP BY 1, 2, 3",
+        "requested_counts": "SELECT event_id, CASE WHEN event_id % 7 < 2 THEN 20 ELSE least(greatest(event_id * 37 % 400 - 100, 1), 100) END::BIGINT AS n FROM events",
+        "formatted_events": "SELECT event_id, strftime(ts::TIMESTAMP, '%b %-d, %Y, %-I:%M %p') AS time, CASE WHEN event_id % 9 = 0 THEN '—' ELSE printf('%.1f', round((floor(value * 10) * 10 + 3) / 100000.0::DOUBLE * 100, 1)) || '%' END AS share, round(least(greatest(value - 10, 0), 100), 6) AS width FROM events WHERE value IS NOT NULL",
+        "avatars": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE url || '_400x400/x_normal.png' END AS url FROM pages",
+        "rich_texts": r"WITH t AS (SELECT conv_id, turn, regexp_extract_all('@user_' || conv_id || ' https://example.org/' || repeat('p', turn * 7) || ' ' || text || chr(10) || '#tag' || turn || ' #no-tag http:// @', '[^\s\x0B]+|[\s\x0B]+') AS p FROM conversations WHERE text IS NOT NULL) SELECT conv_id, turn, array_to_string(list_transform(p, lambda x: CASE WHEN regexp_matches(x, '^https?://\S') THEN 'link=' || left(regexp_replace(x, '^https?://', ''), 32) || CASE WHEN length(x) > 39 THEN '…' ELSE '' END WHEN regexp_matches(x, '^@[A-Za-z0-9_]+$') THEN 'mention=' || x WHEN regexp_matches(x, '^#[A-Za-z0-9_]+$') THEN 'hashtag=' || x ELSE 'text=' || x END), '|') AS pieces FROM t",
+        "payload_scores": f"WITH {CASES}, {normalized('src')} SELECT case_id, least(length(coalesce(nullif(normalized, ''), text, '')), 1000)::DOUBLE / 1000 AS prob FROM norm",
         "timeline_extract": "SELECT * FROM (VALUES ('ann', 'ok', 'Ann', 2::BIGINT, 'Fish & chips|https://twitter.com/ann/status/11|2018-10-10T20:19:24;second|https://twitter.com/ann/status/12|2018-10-10T20:19:24'), ('bob', 'empty', 'bob', 0::BIGINT, ''), ('eve', 'not_found', 'eve', 0::BIGINT, '')) t(username, status, name, n_posts, posts) UNION ALL SELECT 'page' || page_id, 'no_data', 'page' || page_id, 0, '' FROM pages",
     }

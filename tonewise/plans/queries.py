@@ -23,7 +23,7 @@ from tonewise.plans.cases import CONFLICTS, TEXTS
 from tonewise.plans.evaluation import run_holdout
 from tonewise.plans.models import BatchScorer, Ensemble, Meta, TermWeights, soft_vote
 from tonewise.plans.serving import Classifier, verdicts
-from tonewise.sources import requests, timeline
+from tonewise.sources import corpora, requests, timeline
 
 META = Meta(thresholds={"fr": 40.0, "de": 62.5}, global_threshold=45.0)
 NOW = "2025-06-15 12:00:00"
@@ -293,6 +293,62 @@ def language_names(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", fmt.language_name(detect_language(F.col("text"))).alias("name"))
 
 
+def coerced_labels(spark, sf_dir):
+    """Labels written in several ways, read as numbers: fractions are cut off, what is none goes."""
+    kind, toxic = F.col("row_id") % 6, F.col("is_toxic")
+    raw = F.when(kind == 0, F.concat(toxic.cast("string"), F.lit(".9"))).when(kind == 1, F.concat(F.lit(" "), toxic.cast("string"))).when(kind == 2, "x").when(kind == 3, "NaN").when(kind == 4, toxic.cast("string"))
+    rows = labelled(spark, sf_dir).select("row_id", prepare.coerced_label(raw).alias("is_toxic"))
+    return rows.dropna(subset=["is_toxic"])
+
+
+def adapted_sources(spark, sf_dir):
+    """Three corpora with labels of their own kinds put together by name: rows, characters and the last row of each source, language and label."""
+    rows = labelled(spark, sf_dir)
+    written = F.when(F.col("row_id") % 5 == 0, "2").when(F.col("row_id") % 5 == 1, F.concat(F.lit(" "), F.col("is_toxic").cast("string"), F.lit(" "))).otherwise(F.col("is_toxic").cast("string"))
+    plain = rows.select("text", "is_toxic", prepare.canonical_language(F.upper("lang")).alias("lang"), "row_id")
+    texts = corpora.from_text_labels(rows.withColumn("label", written), "text", "label", "zh")
+    flags = corpora.from_clean_flags(rows.withColumn("clean", 1 - F.col("is_toxic")), "text", "clean", "ko")
+    both = prepare.union_sources([plain, *corpora.optional(lambda: texts, lambda: spark.read.parquet(f"{sf_dir}/no-such-table.parquet"), lambda: flags)])
+    return both.groupBy("source_rank", "lang", "is_toxic").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
+
+
+def requested_counts(spark, sf_dir):
+    """How many posts a request gets for what it asks: 1 to 100, 20 for what is no number."""
+    n = F.col("event_id") * 37 % 400 - 100
+    asked = F.when(F.col("event_id") % 7 == 0, F.concat(n.cast("string"), F.lit("x"))).when(F.col("event_id") % 7 == 1, "").otherwise(n.cast("string"))
+    return _table(spark, sf_dir, "events").select("event_id", requests.clamp_count(asked).cast("long").alias("n"))
+
+
+def formatted_events(spark, sf_dir):
+    """Times in full, shares as percentages (a dash for none), values within 0 to 100."""
+    value = F.when(F.col("event_id") % 9 != 0, F.col("value"))
+    rows = _table(spark, sf_dir, "events").where(F.col("value").isNotNull())
+    share = (F.floor(value * 10) * 10 + 3) / 100000.0  # never half a digit
+    return rows.select("event_id", fmt.absolute_time(F.col("ts").cast("timestamp_ntz")).alias("time"), fmt.percent(share).alias("share"), F.round(fmt.clamp_percent(F.col("value") - 10), 6).alias("width"))
+
+
+def avatars(spark, sf_dir):
+    rows = _table(spark, sf_dir, "pages")
+    url = F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.concat("url", F.lit("_normal/x_normal.png")))
+    return rows.select("page_id", fmt.large_avatar(url).alias("url"))
+
+
+def rich_texts(spark, sf_dir):
+    """Turns with links, names and tags among their words, as labelled pieces."""
+    rows = _table(spark, sf_dir, "conversations").where(F.col("text").isNotNull())
+    link = F.concat(F.lit(" https://example.org/"), F.repeat(F.lit("p"), (F.col("turn") * 7).cast("int")), F.lit(" "))
+    text = F.concat(F.lit("@user_"), F.col("conv_id").cast("string"), link, "text", F.lit("\n#tag"), F.col("turn").cast("string"), F.lit(" #no-tag http:// @"))
+    pieces = F.transform(fmt.rich_text(text), lambda p: F.concat_ws("=", p["kind"], p["label"]))
+    return rows.select("conv_id", "turn", F.array_join(pieces, "|").alias("pieces"))
+
+
+def payload_scores(spark, sf_dir):
+    """A plugged-in scorer gets the normalised text, or the raw one if nothing is left: here it tells the length."""
+    scorer = BatchScorer(lambda: lambda texts: [min(len(t), 1_000) / 1_000 for t in texts])
+    rows = _cases(spark, sf_dir).withColumn("normalized", normalize_text(F.col("text")))
+    return scorer.predict(rows).select("case_id", "prob")
+
+
 PAGE = {
     "props": {"pageProps": {"headerProps": {"x": 1}, "timeline": {"entries": [
         {"type": "tweet", "content": {"tweet": {
@@ -365,5 +421,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         char_ngram_df, tfidf_topk, threshold_sweep, tuned_thresholds, eval_report, roc_auc, class_report, soft_vote_probs, verdict_documents,
         profile_summary, profile_languages, language_shares, timeline_tabs, profile_json, snapshot_cache_latest, snapshot_cache_answers, snapshot_cache_kept, normalize_cases, language_cases, analyze_answers, conversation_lines,
         compact_counts, relative_times, handles, permalinks, language_names, timeline_extract, score_documents, scored_documents, holdout_report, language_scores, detected_languages,
+        coerced_labels, adapted_sources, requested_counts, formatted_events, avatars, rich_texts, payload_scores,
     )
     return {f.__name__: f for f in found}
