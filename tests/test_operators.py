@@ -312,3 +312,15 @@ def test_huber_gradients_by_plain_loops(spark):
         vw, vb = 0.9 * vw - 2.0 * (g / total + 1e-6 * w), 0.9 * vb - 2.0 * gb / total
         w, b = w + vw, b + vb
     assert np.allclose(got.weights, w) and got.bias == pytest.approx(b)
+
+
+def test_columns_that_the_operators_use_themselves(spark):
+    rows = [(i, f"t{i % 7}", (i % 7) % 2 if i < 30 else i % 2, "en", *[i] * 8) for i in range(40)]
+    own = ("h0", "h1", "nth", "n", "hash", "slice", "before", "c")
+    df = spark.createDataFrame(rows, "row_id long, normalized string, is_toxic int, lang string, " + ", ".join(f"{c} long" for c in own)).withColumn("source_rank", F.lit(0))
+    plain = df.drop(*own)
+    for run in (prepare.drop_label_conflicts, prepare.keep_first, lambda d: prepare.quota(d, 5), lambda d: prepare.split(d)):
+        got = run(df)
+        assert set(own) <= set(got.columns)
+        assert sorted(rows_of(got.drop(*own).select(*sorted(set(got.columns) - set(own))))) == sorted(rows_of(run(plain).select(*sorted(set(got.columns) - set(own)))))
+        assert all(r[c] == r["row_id"] for r in got.collect() for c in own)
