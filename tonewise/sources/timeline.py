@@ -1,16 +1,15 @@
 """Timelines out of saved profile pages, and the snapshot cache.
 
-Fetching pages is left to the caller (``fetch`` is an interface); parsing is
-DataFrame work over a table (username, html).
+Pages come from ``fetch`` or from wherever they were saved; parsing is DataFrame
+work over a table (username, html).
 """
 
 from __future__ import annotations
 
 import html
-from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonewise.functions.format import parse_created_at, permalink
@@ -26,12 +25,6 @@ ISLAND = r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>'
 CACHE_SECONDS, CACHE_ENTRIES = 600, 256
 
 
-class Fetcher(Protocol):
-    """What brings pages: (usernames) -> DataFrame (username, html). Retries and back-off are its own."""
-
-    def __call__(self, usernames: DataFrame) -> DataFrame: ...
-
-
 def unescaped(text: Column) -> Column:
     """HTML entities resolved, in Arrow batches: Spark has no function for it."""
 
