@@ -558,3 +558,23 @@ def test_a_path_of_a_thousand_segments(spark):
     got = urls.verdicts(pages).collect()
     assert {r["template"] for r in got} == {path} and len(got) == 6
     assert time.time() - began < 60
+
+
+def test_embeddings_with_odd_ids_and_columns(spark):
+    """Null and repeated ids, vectors of several lengths, equal rows, and columns named as the operator's own."""
+    v = {"a": [1.0, 0.0, 0.0], "b": [0.0, 1.0, 0.0], "c": [1.0, 0.1, 0.0], "d": [1.0, 0.0]}
+    rows = [(1, v["a"]), (1, v["b"]), (None, v["c"]), (2, v["a"]), (2, v["a"]), (3, v["d"]), (4, None), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 0.0]), (7, [float("nan"), 1.0, 0.0]), (8, [])]
+    names = "vec_id long, embedding array<double>, rid long, v string, h int, fit boolean, n long, label int"
+    df = spark.createDataFrame([(i, x, 0, "x", 1, True, 9, None) for i, x in rows], names)
+    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in embeddings.classes(df).collect())
+    # The three equal vectors and the one near them are one class of four; of two rows with id 1 one belongs to it.
+    assert got == sorted(
+        [("1", 3, 1, True), ("1", 0, 1, True), ("None", 3, 1, False), ("2", 3, 1, False), ("2", 3, 1, False), ("3", 0, 3, True)] + [(str(i), 0, i, True) for i in range(4, 9)]
+    )
+
+
+def test_urls_beside_columns_of_the_same_names(spark):
+    rows = [(i, f"http://h.org/{'a' if i % 2 else 'b'}/{i}", "x", "y", 1, 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, tpl string, rid long, l int")
+    plain = sorted(map(tuple, urls.verdicts(df.select("page_id", "url")).collect()))
+    assert sorted(map(tuple, urls.verdicts(df).collect())) == plain and len(plain) == 20
