@@ -189,5 +189,6 @@ def oracle_sql() -> dict[str, str]:
         "avatars": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE url || '_400x400/x_normal.png' END AS url FROM pages",
         "rich_texts": r"WITH t AS (SELECT conv_id, turn, regexp_extract_all('@user_' || conv_id || ' https://example.org/' || repeat('p', turn * 7) || ' ' || text || chr(10) || '#tag' || turn || ' #no-tag http:// @', '[^\s\x0B]+|[\s\x0B]+') AS p FROM conversations WHERE text IS NOT NULL) SELECT conv_id, turn, array_to_string(list_transform(p, lambda x: CASE WHEN regexp_matches(x, '^https?://\S') THEN 'link=' || left(regexp_replace(x, '^https?://', ''), 32) || CASE WHEN length(x) > 39 THEN '…' ELSE '' END WHEN regexp_matches(x, '^@[A-Za-z0-9_]+$') THEN 'mention=' || x WHEN regexp_matches(x, '^#[A-Za-z0-9_]+$') THEN 'hashtag=' || x ELSE 'text=' || x END), '|') AS pieces FROM t",
         "payload_scores": f"WITH {CASES}, {normalized('src')} SELECT case_id, least(length(coalesce(nullif(normalized, ''), text, '')), 1000)::DOUBLE / 1000 AS prob FROM norm",
+        "timeline_documents": "SELECT 'page' || doc_id // 5 AS username, row_number() OVER (PARTITION BY doc_id // 5 ORDER BY doc_id) - 1 AS pos, coalesce(text, '') AS full_text, doc_id::VARCHAR AS id_str, coalesce(n_chars, 0) AS favorite_count, 'https://twitter.com' || CASE WHEN doc_id % 3 = 0 THEN '/p/' || doc_id ELSE '/page' || doc_id // 5 || '/status/' || doc_id END AS tweet_url, 'page' || doc_id // 5 AS name FROM documents WHERE doc_id % 7 <> 3",
         "timeline_extract": "SELECT * FROM (VALUES ('ann', 'ok', 'Ann', 2::BIGINT, 'Fish & chips|https://twitter.com/ann/status/11|2018-10-10T20:19:24;second|https://twitter.com/ann/status/12|2018-10-10T20:19:24'), ('bob', 'empty', 'bob', 0::BIGINT, ''), ('eve', 'not_found', 'eve', 0::BIGINT, '')) t(username, status, name, n_posts, posts) UNION ALL SELECT 'page' || page_id, 'no_data', 'page' || page_id, 0, '' FROM pages",
     }

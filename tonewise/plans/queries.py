@@ -407,6 +407,24 @@ def detected_languages(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", detect_language(text, _detector(spark, sf_dir).column(text)).alias("language"))
 
 
+def timeline_documents(spark, sf_dir):
+    """Documents as posts in pages of five, written as saved pages are and parsed again."""
+    docs = _table(spark, sf_dir, "documents")
+    id_str = F.col("doc_id").cast("string")
+    tweet = F.struct(F.col("text").alias("full_text"), id_str.alias("id_str"), F.col("n_chars").alias("favorite_count"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/p/"), id_str)).alias("permalink"))
+    kind = F.when(F.col("doc_id") % 7 == 3, "cursor").otherwise("tweet")
+    entry = F.struct("doc_id", F.struct(kind.alias("type"), F.struct(tweet.alias("tweet")).alias("content")).alias("entry"))
+    pages = docs.groupBy(F.floor(F.col("doc_id") / 5).alias("page")).agg(F.array_sort(F.collect_list(entry)).alias("e"))  # five ids a page
+    timeline_ = F.struct(F.transform("e", lambda x: x["entry"]).alias("entries")).alias("timeline")
+    body = F.to_json(F.struct(F.struct(F.struct(F.lit("{}").alias("headerProps"), timeline_).alias("pageProps")).alias("props")))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        body = F.replace(body, F.lit(sign), F.lit(name))
+    page = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), body, F.lit("</script></html>"))
+    rows = pages.select(F.concat(F.lit("page"), F.col("page").cast("string")).alias("username"), page.alias("html"))
+    out = timeline.posts(timeline.parse_pages(rows, now=F.lit(NOW).cast("timestamp_ntz")))
+    return out.select("username", F.col("pos").cast("long").alias("pos"), "full_text", "id_str", "favorite_count", "tweet_url", F.col("user.name").alias("name"))
+
+
 def score_documents(spark, sf_dir):
     """Train on the labelled documents, score all documents by the serving path."""
     model = Ensemble.fit(prepare.build_corpus([labelled(spark, sf_dir)]), features.Vectorizer())
@@ -421,6 +439,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         char_ngram_df, tfidf_topk, threshold_sweep, tuned_thresholds, eval_report, roc_auc, class_report, soft_vote_probs, verdict_documents,
         profile_summary, profile_languages, language_shares, timeline_tabs, profile_json, snapshot_cache_latest, snapshot_cache_answers, snapshot_cache_kept, normalize_cases, language_cases, analyze_answers, conversation_lines,
         compact_counts, relative_times, handles, permalinks, language_names, timeline_extract, score_documents, scored_documents, holdout_report, language_scores, detected_languages,
-        coerced_labels, adapted_sources, requested_counts, formatted_events, avatars, rich_texts, payload_scores,
+        coerced_labels, adapted_sources, requested_counts, formatted_events, avatars, rich_texts, payload_scores, timeline_documents,
     )
     return {f.__name__: f for f in found}
