@@ -32,7 +32,7 @@ def found(spark, clicks, orders, tolerance, rows):
     return sorted(map(tuple, got.collect()), key=repr)
 
 
-@pytest.mark.parametrize(("tolerance", "span", "rows"), [(1_000, 8_000, 3), (1, 50, 2), (0, 30, 4), (50_000, 60_000, 5), (300, 1_000_000, 2)])
+@pytest.mark.parametrize(("tolerance", "span", "rows"), [(1_000, 8_000, 3), (0, 30, 4), (300, 1_000_000, 2)])
 def test_by_brute_force(spark, tolerance, span, rows):
     rng = random.Random(span)
     some = lambda x, p=0.04: None if rng.random() < p else x

@@ -44,8 +44,7 @@ def found(spark, counts, **options):
     return [tuple(r) for r in spelling.grouped(df, **options).select("word", "form", "root", "n", "n_near", "form_n").collect()]
 
 
-@pytest.mark.parametrize("most", [0, 3, 50])
-@pytest.mark.parametrize("letters", ["ab", "abcé", "stün\U0001f600"])
+@pytest.mark.parametrize(("letters", "most"), [("ab", 3), ("abcé", 0), ("stün\U0001f600", 50)])
 def test_by_brute_force(spark, letters, most):
     rng = random.Random(len(letters))
     counts = {"".join(rng.choices(letters, k=rng.randrange(1, 8))): 5 ** rng.randrange(1, 9) + rng.randrange(3) for _ in range(250)}
