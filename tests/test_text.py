@@ -1,12 +1,13 @@
 import random
 import re
+import time
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from tonewise.functions.language import detect_language
-from tonewise.functions.normalize import normalize_text
+from tonewise.functions.normalize import NO_ASCII, STABLE, normalize_text
 from tonewise.functions.tables import LEET, LOOKALIKE_FROM, LOOKALIKE_TO
 
 CASES = [
@@ -110,3 +111,29 @@ def test_entry_has_the_core(spark):
 def test_empty_table(spark, empty):
     df = spark.createDataFrame([], empty)
     assert df.select(normalize_text(F.col("text")), detect_language(F.col("text"))).count() == 0
+
+
+def test_normalization_takes_a_few_times_a_plain_pattern(spark):
+    words = ["straße", "l’été", "qu4nd", "plain words of a text", "a@b", "mañana,"] * 300
+    df = spark.createDataFrame([(" ".join(words) + str(i),) for i in range(200)], "text string").repartition(4).cache()
+    df.count()
+
+    def seconds(column):
+        took = []
+        for _ in range(3):
+            began = time.time()
+            df.select(column.alias("x")).write.format("noop").mode("overwrite").save()
+            took.append(time.time() - began)
+        return min(took)
+
+    plain = seconds(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", " "))
+    assert seconds(normalize_text(F.col("text"), fold=False)) < 12 * plain
+    assert seconds(F.col("text").rlike(f"{NO_ASCII}[^{STABLE}]")) < 3 * plain
+    df.unpersist()
+
+
+def test_words_and_whole_texts_fold_alike(spark):
+    parts = ["a", "z", "4", "@", "*", "|", "$", " ", "\t", "\u00a0", "\u2003", "\x1c", "о", "я", "é", "ß"]
+    rng = random.Random(11)
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 20))) for _ in range(1000)]
+    assert normalised(spark, texts) == [model(t) for t in texts]
