@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -578,3 +579,17 @@ def test_urls_beside_columns_of_the_same_names(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, host string, tpl string, rid long, l int")
     plain = sorted(map(tuple, urls.verdicts(df.select("page_id", "url")).collect()))
     assert sorted(map(tuple, urls.verdicts(df).collect())) == plain and len(plain) == 20
+
+
+def test_toxicity_words_are_hashed_at_once():
+    weights = np.random.default_rng(3).normal(size=toxicity.BUCKETS).astype(np.float32)
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcXé漢😀_-9", k=rng.randint(1, 12))) for _ in range(20_000)]
+    began = time.process_time()
+    want = np.array([weights[toxicity.features(w)].mean() for w in words])
+    plain, began = time.process_time() - began, time.process_time()
+    got = toxicity.word_means(words, weights)
+    assert time.process_time() - began < plain / 3
+    assert abs(got - want).max() < 1e-6
+    model = toxicity.Model(weights, 4, 0.1)
+    assert toxicity.Scorer(model).scores(["a bé", None, "", "漢 x"]) == [toxicity.Scorer(model)(t) for t in ("a bé", None, "", "漢 x")]

@@ -40,6 +40,8 @@ from tonewise.llm.langid import held_out, remainder
 WORD = re.compile(r"[^\s.,;:!?\"()|]+")
 BUCKETS, DIMS, SIZES = 1 << 18, 10, (3, 4, 5)
 MEMO_WORDS = 200_000
+#: Texts of which the new words are hashed at once.
+TEXTS = 100
 
 
 def features(word: str) -> list[int]:
@@ -49,6 +51,43 @@ def features(word: str) -> list[int]:
     return [x % BUCKETS for x in found]
 
 
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & np.uint32(1), (t >> np.uint32(1)) ^ np.uint32(0xEDB88320), t >> np.uint32(1))
+    return t
+
+
+CRC = _crc_table()
+
+
+def word_means(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """The mean weight of each word's ``features``, hashed all at once."""
+    if not words:
+        return np.empty(0)
+    marked = [f"<{w}>".encode("utf-8", "surrogatepass") for w in words]
+    flat = np.frombuffer(b"".join(marked), np.uint8)
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, marked), np.int64, len(words)))
+    begins = np.flatnonzero((flat & 0xC0) != 0x80)  # of characters
+    of, flat = owner[begins], flat.astype(np.uint32)
+    begins = np.append(begins, len(flat))
+    whole = np.fromiter(map(crc32, marked), np.int64, len(words)) % BUCKETS
+    total, n = weights[whole].astype(np.float64), np.ones(len(words), np.int64)
+    for length in SIZES:
+        at = np.flatnonzero(of[: len(of) - length + 1] == of[length - 1 :])
+        start, size = begins[at], begins[at + length] - begins[at]
+        crc = np.full(len(at), length ^ 0xFFFFFFFF, np.uint32)
+        for k in range(size.max(initial=0)):
+            if k < length:
+                crc = CRC[(crc ^ flat[start + k]) & np.uint32(255)] ^ (crc >> np.uint32(8))
+            else:  # only those of longer characters go on
+                more = np.flatnonzero(size > k)
+                crc[more] = CRC[(crc[more] ^ flat[start[more] + k]) & np.uint32(255)] ^ (crc[more] >> np.uint32(8))
+        total += np.bincount(of[at], weights[(crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(BUCKETS)], len(words))
+        n += np.bincount(of[at], minlength=len(words))
+    return total / n
+
+
 @dataclass
 class Model:
     """What is left of a trained model: for each bucket its part of the difference of the softmax's two logits, and their bias."""
@@ -194,29 +233,39 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2_000, max_clean: i
 
 
 class Scorer(dict):
+    """The weights of words that have been met."""
+
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
 
-    def __missing__(self, word: str) -> float:
-        x = self[word] = float(self.model.weights[features(word)].mean())
-        return x
-
-    def __call__(self, text: str | None) -> float:
-        words = WORD.findall(text.lower()) if text else []
-        if not words or self.model.bias is None:
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """The score of each text; what is new in ``TEXTS`` of them is hashed at once."""
+        out: list[float] = []
+        for i in range(0, len(texts), TEXTS):
+            found = [WORD.findall(t.lower()) if t and self.model.bias is not None else [] for t in texts[i : i + TEXTS]]
+            if len(self) > MEMO_WORDS:
+                self.clear()
+            new = list({w for words in found for w in words if w not in self})
+            self.update(zip(new, word_means(new, self.model.weights).tolist(), strict=True))
+            out += map(self._score, found)
+        return out
+
+    def _score(self, words: list[str]) -> float:
+        if not words:
             return 0.0
-        if len(self) > MEMO_WORDS:
-            self.clear()
         z = most(np.fromiter(map(self.__getitem__, words), np.float64, len(words)), self.model.window) + self.model.bias
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
+
+    def __call__(self, text: str | None) -> float:
+        return self.scores([text])[0]
 
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            s = np.array([scorer(t) for t in b.column("text").to_pylist()], np.float64)
+            s = np.array(scorer.scores(b.column("text").to_pylist()), np.float64)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
