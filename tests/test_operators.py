@@ -324,3 +324,24 @@ def test_columns_that_the_operators_use_themselves(spark):
         assert set(own) <= set(got.columns)
         assert sorted(rows_of(got.drop(*own).select(*sorted(set(got.columns) - set(own))))) == sorted(rows_of(run(plain).select(*sorted(set(got.columns) - set(own)))))
         assert all(r[c] == r["row_id"] for r in got.collect() for c in own)
+
+
+def test_profiles_detect_shown_posts_only(spark):
+    from tonewise.operators import profile
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def language(pos):
+        seen.add(1)
+        return "en" if pos % 3 else "fr"
+
+    posts = spark.range(3_000).select((F.col("id") % 2).cast("string").alias("author"), F.col("id").alias("pos"))
+    shown = profile.first_posts(posts)
+    rows = shown.withColumn("score", F.col("pos") / 10.0).withColumn("is_toxic", F.col("pos") % 2 == 0).withColumn("language", language("pos")).withColumn("threshold", F.lit(50.0))
+    got = {r["author"]: r for r in profile.profile(rows, []).collect()}
+    assert seen.value <= 200  # once for each post that is shown
+    assert [p["pos"] for p in got["0"]["posts"]] == list(range(0, 200, 2))
+    assert [tuple(x) for x in got["0"]["summary"]["languages"]] == [("en", 66), ("fr", 34)]
+    assert [tuple(x) for x in got["1"]["summary"]["languages"]] == [("en", 67), ("fr", 33)]
+    assert got["1"]["summary"]["total"] == 100 and got["1"]["summary"]["toxic"] == 0
