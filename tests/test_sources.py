@@ -111,3 +111,24 @@ def test_many_blocks_use_the_other_reader(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(records, "BROADCAST_BLOCKS", 0)
     assert records.records(spark, str(tmp_path / "a.csv")) is None
     assert read(spark, str(tmp_path / "a.csv"), True) == [("x\ny", 1, "en")]
+
+
+def test_entities_are_resolved_in_bounded_batches(spark):
+    import html
+
+    from pyspark.sql import functions as F
+
+    from tonewise.sources import timeline
+
+    texts = [None, "", "a", "&amp;lt;", "&lt;b&gt; &quot;x&quot; &amp;amp;", "&#39;&amp;", "&eacute;&lt", "&ampx;", "& &&lt;", "&amp;#39;"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r[0] for r in df.select("i", timeline.unescaped(F.col("t")).alias("u")).orderBy("i").select("u").collect()]
+    assert got == [t and html.unescape(t) for t in texts]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        timeline.parse_pages(spark.createDataFrame([("a", "x")], "username string, html string"))
+        assert int(spark.conf.get(key)) <= 200
+    finally:
+        spark.conf.set(key, before)

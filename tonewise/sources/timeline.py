@@ -25,14 +25,24 @@ ISLAND = r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>'
 CACHE_SECONDS, CACHE_ENTRIES = 600, 256
 
 
+#: Entities that Spark resolves itself, the sign that begins them last.
+PLAIN_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
+#: Pages that Python gets at once, where it must resolve their entities.
+BATCH_PAGES = 200
+
+
 def unescaped(text: Column) -> Column:
-    """HTML entities resolved, in Arrow batches: Spark has no function for it."""
+    """HTML entities resolved. Texts with other entities than the plain four go through Python in Arrow batches, as Spark has no function for all."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
 
-    return run(text)
+    plain = text
+    for entity, sign in PLAIN_ENTITIES:
+        plain = F.replace(plain, F.lit(entity), F.lit(sign))
+    other = text.rlike("&(?!" + "|".join(e[1:] for e, _ in PLAIN_ENTITIES) + ")")
+    return F.when(other, run(F.when(other, text))).otherwise(plain)
 
 
 def page_data(page: Column) -> Column:
@@ -51,6 +61,9 @@ def parse_pages(pages: DataFrame, count: int = 20, now: Column | None = None) ->
     user is that of the first of them.
     """
     now = F.current_timestamp() if now is None else now
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(pages.sparkSession.conf.get(key)) <= BATCH_PAGES:
+        pages.sparkSession.conf.set(key, str(BATCH_PAGES))
     name = F.col("username")
     rows = pages.select("username", page_data(F.col("html")).alias("d"))
     entries = F.filter(F.coalesce("d.props.pageProps.timeline.entries", F.from_json(F.lit("[]"), f"array<struct<type:string,content:struct<tweet:{POST}>>>")), lambda e: e["type"] == "tweet")
