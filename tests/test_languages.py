@@ -94,3 +94,29 @@ def test_detector_on_unseen_texts(spark):
     right = unseen.select("lang", detect_language(F.col("text"), d.column(F.col("text"))).alias("g")).select(F.avg((F.col("lang") == F.col("g")).cast("int"))).first()[0]
     rules = unseen.select("lang", detect_language(F.col("text")).alias("g")).select(F.avg((F.col("lang") == F.col("g")).cast("int"))).first()[0]
     assert right > 0.98 and right >= rules
+
+
+def test_trigrams_of_a_text_are_looked_up_at_once():
+    import random
+    import time
+
+    import numpy as np
+
+    from tonewise.operators.detector import Detector
+
+    rng = random.Random(9)
+    grams = list({"".join(rng.choices("abcdeé漢 😀", k=3)) for _ in range(300)})
+    told = Detector(["x", "y"], {g: i for i, g in enumerate(grams)}, np.random.default_rng(9).normal(size=(len(grams), 2)), np.array([-0.5, -1.0]))
+
+    def plain(text):
+        at = [told.grams[text[i : i + 3]] for i in range(len(text) - 2) if text[i : i + 3] in told.grams]
+        return told.prior + told.logs[at].sum(0), len(at)
+
+    texts = ["", "a", "ab", "abc", *("".join(rng.choices("abcdeé漢 😀z", k=5_000)) for _ in range(60))]
+    began = time.process_time()
+    want = [plain(t) for t in texts]
+    slow, began = time.process_time() - began, time.process_time()
+    coded = told._coded()
+    got = [told.totals(t, coded) for t in texts]
+    assert time.process_time() - began < slow / 2
+    assert all(n == m and np.allclose(s, w, rtol=0, atol=1e-9) for (s, n), (w, m) in zip(got, want, strict=True))

@@ -45,6 +45,12 @@ def profiles(rows: DataFrame, text: str, lang: str, size: int) -> DataFrame:
     return counts.withColumn("nth", nth).where(F.col("nth") <= size).select("lang", "gram", "n")
 
 
+def _trigram_codes(text: str) -> np.ndarray:
+    """Each three characters in a row as one number, 21 bits a character."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+
+
 @dataclass
 class Detector:
     langs: list[str] = field(default_factory=list)
@@ -71,9 +77,21 @@ class Detector:
         out.prior = np.log(np.array([shares[k] for k in out.langs]) / sum(shares.values()))
         return out
 
-    def totals(self, text: str) -> tuple[np.ndarray, int]:
+    def _coded(self) -> tuple[np.ndarray, np.ndarray]:
+        """The profiles' trigrams as sorted numbers, and the row of ``logs`` of each."""
+        known = [(int(_trigram_codes(g)[0]), i) for g, i in self.grams.items() if len(g) == 3]
+        codes, rows = np.array(sorted(known), np.int64).reshape(-1, 2).T
+        return codes, rows
+
+    def totals(self, text: str, coded: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, int]:
         """Scores of a spelled text in each language, and how many of its trigrams are known."""
-        at = [i for i in map(self.grams.get, map("".join, zip(text, text[1:], text[2:], strict=False))) if i is not None]
+        codes, rows = coded or self._coded()
+        found = _trigram_codes(text)
+        if not len(codes) or not len(found):
+            return self.prior + 0.0, 0
+        p = np.searchsorted(codes, found)
+        p[p == len(codes)] = 0
+        at = rows[p[codes[p] == found]]
         return self.prior + self.logs[at].sum(0), len(at)
 
     def column(self, text: Column) -> Column:
@@ -83,8 +101,9 @@ class Detector:
 
         @F.pandas_udf("string")
         def guess(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            coded = self._coded()
             for texts in batches:
-                found = [self.totals(t) if t else (None, 0) for t in texts]
+                found = [self.totals(t, coded) if t else (None, 0) for t in texts]
                 yield pd.Series([self.langs[int(s.argmax())] if n else None for s, n in found], dtype=object)
 
         return guess(spelled(text))
@@ -96,8 +115,9 @@ class Detector:
 
         @F.pandas_udf("array<double>")
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            coded = self._coded()
             for texts in batches:
-                found = [self.totals(t or "") for t in texts]
+                found = [self.totals(t or "", coded) for t in texts]
                 yield pd.Series([s / max(1, n) for s, n in found])
 
         langs = F.array(*map(F.lit, self.langs))
