@@ -120,3 +120,36 @@ def test_trigrams_of_a_text_are_looked_up_at_once():
     got = [told.totals(t, coded) for t in texts]
     assert time.process_time() - began < slow / 2
     assert all(n == m and np.allclose(s, w, rtol=0, atol=1e-9) for (s, n), (w, m) in zip(got, want, strict=True))
+
+
+def test_language_scores_know_every_trigram_and_language(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from tonewise.operators import detector
+    from tonewise.plans import oracles, queries
+
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzé"
+    docs = [(i, "".join(rng.choices(letters + " ", k=400)), "xx" if i % 3 else "yy") for i in range(40)]
+    rare = next(g for t in [docs[1][1]] for g in grams(t) if " " not in g and sum(g in u for _, u, _ in docs) == 1)
+    docs += [(100, rare, "xx"), (101, None, "xx"), (102, "", "zz"), (103, "12 !", None), (104, "ab", None), (105, rare + " " + rare, "yy")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+
+    def check(labels):
+        path = f"{tmp_path}/labels{len(labels)}"
+        spark.read.parquet(f"{tmp_path}/documents.parquet").write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(i, 0) for i in labels], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+        for name in ("documents", "labels"):
+            db.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{path}/{name}.parquet/*.parquet'")
+        want = {(i, k): s for i, k, s in db.execute(oracles.oracle_sql()["language_scores"]).fetchall()}
+        for held in (detector.HELD, 10):  # held by the workers, joined
+            monkeypatch.setattr(queries, "whole_scores", lambda *a, held=held: detector.whole_scores(*a, held=held))
+            rows = queries.language_scores(spark, path).collect()
+            got = {(r["doc_id"], r["lang"]): r["score"] for r in rows}
+            assert len(rows) == len(got) and got.keys() == want.keys() and got == pytest.approx(want, abs=2e-6)
+        return want
+
+    want = check(range(40))
+    assert want[100, "xx"] > want[100, "yy"]  # a trigram that stands once, in a profile of thousands
+    check([*range(40), 102])  # a language without a trigram

@@ -7,6 +7,8 @@ the language's share of the texts, and of each of the text's trigrams' share of
 the language's profile, one being added to every count. Trigrams of no profile say
 nothing. Counting, cutting the profiles and scoring are distributed; the profiles
 come to the driver, ``size`` rows a language at most, ``MOST_LANGUAGES`` languages.
+``whole_scores`` scores by all trigrams of all languages: profiles that are too large
+for the driver stay a table that the texts' trigrams are joined with.
 
 ``Detector.column`` goes into ``detect_language`` as its detector. Defined cases: a
 null text, or one without a known trigram, has no language (null), so the rules
@@ -21,11 +23,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonewise.operators.features import term_counts
+from tonewise.sources.tables import stored
+
 #: Languages of which profiles are kept: those of most texts.
 MOST_LANGUAGES = 400
+#: Numbers of whole profiles, languages times trigrams, that the driver and the workers hold.
+HELD = 4_000_000
 
 
 def spelled(text: Column) -> Column:
@@ -37,10 +45,12 @@ def trigrams(text: Column) -> Column:
     return F.regexp_extract_all(spelled(text), F.lit("(?s)(?=(...))"), 1)
 
 
-def profiles(rows: DataFrame, text: str, lang: str, size: int) -> DataFrame:
-    """(lang, gram, n): the commonest trigrams of each language."""
+def profiles(rows: DataFrame, text: str, lang: str, size: int | None) -> DataFrame:
+    """(lang, gram, n): the commonest trigrams of each language, or all of them."""
     grams = rows.select(F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram"))
     counts = grams.groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    if size is None:
+        return counts
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))  # cut before it is shuffled
     return counts.withColumn("nth", nth).where(F.col("nth") <= size).select("lang", "gram", "n")
 
@@ -65,7 +75,11 @@ class Detector:
         shares = {r["lang"]: r["n"] for r in n.collect()}  # a row a language
         if not shares:
             return Detector()
-        found = profiles(known.where(F.col(lang).isin(list(shares))), text, lang, size).toArrow()  # ``size`` rows a language
+        return Detector.of(shares, profiles(known.where(F.col(lang).isin(list(shares))), text, lang, size).toArrow())  # ``size`` rows a language
+
+    @staticmethod
+    def of(shares: dict[str, int], found: pa.Table) -> "Detector":
+        """Of the number of texts of each language, and profiles (lang, gram, n)."""
         out = Detector(sorted(shares))
         at = {k: i for i, k in enumerate(out.langs)}
         gram = found.column("gram").to_pylist()
@@ -122,3 +136,30 @@ class Detector:
 
         langs = F.array(*map(F.lit, self.langs))
         return F.transform(score(spelled(text)), lambda s, i: F.struct(F.get(langs, i).alias("lang"), s.alias("score")))
+
+
+def whole_scores(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", held: int = HELD) -> DataFrame:
+    """(id, lang, score) of ``docs`` as by ``Detector.scores``, with all trigrams of ``rows`` and all languages.
+
+    A language that has texts but no trigram has the logarithm of its share as its score.
+    """
+    known = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    langs = stored(known.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("texts")), "profile-languages")
+    grams = stored(profiles(known, text, lang, None), "profile-trigrams")
+    n, texts = langs.select(F.count("*"), F.sum("texts")).first()
+    taught, size = grams.select(F.count_distinct("lang"), F.count_distinct("gram")).first()
+    if n and taught == n <= MOST_LANGUAGES and n * size <= held:
+        told = Detector.of({r["lang"]: r["texts"] for r in langs.collect()}, grams.toArrow())  # within ``held``
+        return docs.select(id_col, F.explode(told.scores(F.col(text))).alias("s")).select(id_col, "s.lang", "s.score")
+    # The logarithm of (n + 1) / (total + size) is split: the first part is 0 for what a language lacks, the second is the same for all trigrams.
+    counted = stored(docs.select(id_col, text).withColumn("row", F.monotonically_increasing_id()), "profile-texts")
+    entries = grams.select("gram", "lang", F.log1p("n").alias("w")).unionByName(grams.select("gram", F.lit(None).cast("string").alias("lang"), F.lit(1.0).alias("w")).distinct())
+    sums = term_counts(counted, trigrams(F.col(text)), "row").join(entries, F.col("term") == F.col("gram")).groupBy("row", "lang").agg(F.sum(F.col("tf") * F.col("w")).alias("s"))
+    sums = stored(sums, "profile-sums")
+    totals = grams.groupBy("lang").agg(F.log(F.sum("n") + F.lit(size)).alias("rest"))
+    priors = langs.join(totals, "lang", "left").select("lang", F.log(F.col("texts") / F.lit(texts)).alias("prior"), "rest")
+    every = counted.select(id_col, "row").crossJoin(priors).join(sums.where("lang IS NULL").select("row", F.col("s").alias("k")), "row", "left")
+    every = every.join(sums.where("lang IS NOT NULL"), ["row", "lang"], "left")
+    k = F.when(F.col("rest").isNotNull(), F.coalesce("k", F.lit(0.0))).otherwise(0.0)
+    score = (F.col("prior") + F.coalesce("s", F.lit(0.0)) - k * F.coalesce("rest", F.lit(0.0))) / F.greatest(k, F.lit(1.0))
+    return every.select(id_col, "lang", score.alias("score"))
